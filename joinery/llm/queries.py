@@ -7,10 +7,50 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinery.llm import leaks, quality, tokens
+from joinery.llm import consensus, leaks, quality, sampling, splits, tokens
 from joinery.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.unreliable(table(spark, sf_dir, "ratings"))
+
+
+def p1_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.Consensus(table(spark, sf_dir, "ratings")).labels()
+
+
+def p1_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.Consensus(table(spark, sf_dir, "ratings")).reliability()
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sampling.usable(table(spark, sf_dir, "experiments"), table(spark, sf_dir, "partnet_meta")), table(spark, sf_dir, "sample_targets")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.unmet(*_pool(spark, sf_dir))
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample(*_pool(spark, sf_dir))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.report(*_pool(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.related(splits.records(table(spark, sf_dir, "partnet_meta")))
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.assign(splits.records(table(spark, sf_dir, "partnet_meta")), table(spark, sf_dir, "split_targets"))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.report(splits.records(table(spark, sf_dir, "partnet_meta")), table(spark, sf_dir, "split_targets"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
@@ -32,7 +72,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids, p7_found, p7_report, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_report, p6_ids, p7_found, p7_report, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
