@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinery.llm import consensus, leaks, quality, sampling, splits, tokens
+from joinery.llm import consensus, leaks, overlap, quality, sampling, splits, tokens
 from joinery.session import table
 
 
@@ -51,6 +51,18 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.report(splits.records(table(spark, sf_dir, "partnet_meta")), table(spark, sf_dir, "split_targets"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.found(table(spark, sf_dir, "finetuning_data"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "finetuning_data"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.membership(table(spark, sf_dir, "finetuning_data"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_table(table(spark, sf_dir, "documents"))
 
@@ -72,7 +84,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_report, p6_ids, p7_found, p7_report, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p5_classes, p6_ids, p7_found, p7_report, p8_found, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
