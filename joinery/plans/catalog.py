@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinery.plans import references
+from joinery.plans import ratings, references
 
-MODULES = (references,)
+MODULES = (ratings, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
