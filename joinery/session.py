@@ -37,3 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint if the counted rows stay within the limit; else the planner shuffles."""
     return F.broadcast(df) if rows <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where the input has fewer parts than there are cores; for costly Python kernels."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
