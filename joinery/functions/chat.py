@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 END = "EOS"
 SYSTEM = "You are a helpful assistant."
 INSTRUCTION = "Design a piece of wooden furniture as boxes. Write one box per line, as nine whole numbers: sizes dx dy dz, centre cx cy cz, rotation rx ry rz in degrees. Description: "
-_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\u0085\u2028\u2029]"
 
 
 def instruction(caption: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from joinery.functions.keys import strip
 
-LINES = r"\r\n|[\n\r\u0085  ]"
+LINES = r"\r\n|[\n\r\u0085\u2028\u2029]"
 _NUMBER = r"[+-]?(?:[0-9]+(?:[.][0-9]*)?|[.][0-9]+)"
 PIECE = rf"^{_NUMBER}(?: {_NUMBER}){{8}}$"
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from joinery.plans import designs, ratings, references
+from joinery.plans import datasets, designs, ratings, references
 
-MODULES = (ratings, designs, references)
+MODULES = (ratings, datasets, designs, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
