@@ -53,7 +53,7 @@ _ANY = frozenset().union(*_COMMON.values())
 _ARTICLES = {lang: frozenset(words.split()) for lang, words in ARTICLES.items()}
 _WRONG_NEXT = {lang: _COMMON[lang] - frozenset(AFTER_ARTICLE_OK[lang].split()) for lang in ARTICLES}
 
-_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
+_LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 _QUOTE = re.compile(r"^[\s>]+")
 _SPEAKER = re.compile(r"^[^\W\d_]: ")
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>")
@@ -62,7 +62,7 @@ _SPACE = re.compile(r"\s+")
 _CODE = re.compile(r"[\[\]{}=<>|\;#~^*_/+@$%&`]")
 _FIELD = re.compile(r"\t|\|")
 _CLAUSE = re.compile(r"[.!?…。！？][\"'”“’»)\]*]*\s*$")
-_CJK = re.compile(r"[぀-ヿ一-鿿가-힯]")
+_CJK = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 STATS = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "broken_order", "outside")
 
 
@@ -81,7 +81,7 @@ class Line:
     __slots__ = ("size", "words", "common", "digits", "symbols", "longest", "fields", "ends", "lower", "cjk")
 
     def __init__(self, raw: str) -> None:
-        text = _TAG.sub(" ", _SPEAKER.sub("", _QUOTE.sub("", raw))).replace(" ", " ").replace("­", "").replace("​", "")
+        text = _TAG.sub(" ", _SPEAKER.sub("", _QUOTE.sub("", raw))).replace("\u00a0", " ").replace("\u00ad", "").replace("\u200b", "")
         if not text.isascii():
             text = unicodedata.normalize("NFKC", text)
         self.size = len(_SPACE.sub("", raw))

@@ -9,10 +9,10 @@ import unicodedata
 _TAG_INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|mark|a|code|sub|sup|small|font|tt|q|wbr)(?:\s[^<>]*)?/?>|<!--.*?-->", re.I | re.S)
 _TAG = re.compile(r"</?[a-z][a-z0-9]*(?:\s[^<>]*)?/?>", re.I)
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*(?:\s\"[^\"]*\")?\)")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑¬][^\S\n]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011\u00ac][^\S\n]*\r?\n[ \t>|*#]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 _ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
-_UNSEEN = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ]")
+_UNSEEN = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0]")
 
 
 def _bare(text: str) -> str:
