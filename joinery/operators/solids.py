@@ -32,8 +32,8 @@ def euler_matrix(rx: float, ry: float, rz: float) -> np.ndarray:
 def fit_box(points: np.ndarray, coarse: int = COARSE, fine: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rotation, sizes, centre): a box of small volume around points, by turns about x, then y, then z.
 
-    Per axis, the angle of `coarse` ones within 45 degrees either way that gives the smallest volume, then of `fine` ones around
-    it. `points @ rotation` are the points in the box's frame; the centre is the mean of the points.
+    Per axis, of no turn and `coarse` angles within 45 degrees either way the one that gives the smallest volume, then of `fine`
+    ones around it. `points @ rotation` are the points in the box's frame; the centre is the mean of the points.
     """
     centre = points.mean(axis=0)
     flat = points - centre
@@ -45,7 +45,7 @@ def fit_box(points: np.ndarray, coarse: int = COARSE, fine: int = FINE) -> tuple
         return float(angles[int(np.argmin(volume))])
 
     for axis in range(3):
-        rough = best(axis, np.linspace(-45, 45, coarse))
+        rough = best(axis, np.concatenate([[0.0], np.linspace(-45, 45, coarse)]))
         turn = best(axis, np.concatenate([[rough], rough + np.linspace(-90 / coarse, 90 / coarse, fine)]))
         total = axis_rotation(axis, turn) @ total
     return total.T, np.ptp(flat @ total.T, axis=0), centre
@@ -123,6 +123,7 @@ _ROOM = 20  # corners of a face: 4, and at most one more with each of 11 cuts
 def _cut(poly: np.ndarray, n: np.ndarray, normal: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Polygons (p x _ROOM x 3, with n corners each) cut by one half space each."""
     side = np.einsum("pwc,pc->pw", poly, normal) - offset[:, None]
+    side[np.abs(side) < 1e-9 * (1 + np.abs(poly).max(axis=(1, 2)))[:, None]] = 0.0  # in the cutting plane
     index = np.arange(_ROOM)[None, :]
     valid = index < n[:, None]
     after = np.where(index + 1 < n[:, None], index + 1, 0)

@@ -156,7 +156,7 @@ _LISTED = r"""(select object_id, row_id, case when len(captions) = 1 and regexp_
 _WS = r"[\s\x{00A0}\x{2003}\x{3000}]"
 _CAPTIONS = f"""(select object_id, row_id, place, regexp_replace(regexp_replace(regexp_replace(c, '^{_WS}+|{_WS}+$', '', 'g'), '^''+|''+$', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g') as caption
     from (select object_id, row_id, unnest(captions) as c, (generate_subscripts(captions, 1) - 1)::int as place from {_LISTED}))"""
-_SAID = "(select entry_id, array_to_string([m.content for m in messages if m.role = 'assistant'], '') as said, len([m.content for m in messages if m.role <> 'assistant'])::int as others from finetuning_data where messages is not null)"
+_SAID = "(select entry_id, coalesce(array_to_string([m.content for m in messages if m.role = 'assistant'], ''), '') as said, len([m.content for m in messages if m.role <> 'assistant'])::int as others from finetuning_data where messages is not null)"
 
 
 def oracle_sql() -> dict[str, str]:
