@@ -200,7 +200,7 @@ def test_overlap_against_all_pairs(spark):
             base = [list(p) for p in rng.choice(designs[:15])]
             for p in base:
                 for k in range(9):
-                    p[k] += rng.choice([0] * 15 + [1, -1, 2, -2, 3])
+                    p[k] += rng.choice([0] * 50 + [1, -1, 2, -2, 3])
             rng.shuffle(base)
             base = base[: rng.randint(max(1, len(base) - 1), len(base))]
         else:
