@@ -10,7 +10,7 @@ back, and a sum per annotator of numerators and overlap-weighted denominators.
 
 Votes are then weighted by the log-odds of the reliabilities; the label of an item is the most likely one.
 
-The ratings are kept partitioned by item; an item with more than HOT ratings is cut into slices by annotator, whose
+Items and annotators are iterated over by 64-bit hashes of their names. The ratings are kept partitioned by item; an item with more than HOT ratings is cut into slices by annotator, whose
 sums are added up before the join back. Memory per task does not depend on the size of an item.
 
 Defined results: cells that don't read as a label, null models, unreadable items and null annotators are left out; of
@@ -59,85 +59,98 @@ def usable_ratings(ratings: DataFrame) -> DataFrame:
     return best.select("reviewer", "model", "item", *[F.pmod(F.col(m), F.lit(4)).cast("int").alias(m) for m in METRICS]).filter(" or ".join(f"{m} is not null" for m in METRICS))
 
 
-def _sums(m: str, v: str) -> list[Column]:
-    """Per item: the weights by label, and the squared weights."""
-    w = F.col(f"{v}_{m}")
-    return [F.sum(F.when(F.col(m) == k, w).otherwise(0.0)).alias(f"s{k}_{m}") for k in LABELS] + [F.sum(F.when(F.col(m).isNotNull(), w * w).otherwise(0.0)).alias(f"q_{m}")]
+def _label_values(m: str, names: list[str]) -> Column:
+    """Of one column per label, the one of the row's label; null without a label."""
+    return F.coalesce(*[F.when(F.col(m) == k, F.col(n)) for k, n in zip(LABELS, names)])
 
 
 class Consensus:
     """Reliabilities and labels of one table of ratings."""
 
     def __init__(self, ratings: DataFrame) -> None:
-        rows = usable_ratings(ratings)
-        spark = ratings.sparkSession
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = cut(rows)
-        hot = rows.groupBy("model", "item").count().filter(f"count > {HOT}").select("model", "item", F.ceil(F.col("count") / HOT).cast("int").alias("slices"))
-        hot = cut(hot)  # at most one row per HOT ratings
-        n_hot = hot.count()
-        rows = rows.join(small(hot, n_hot), ["model", "item"], "left") if n_hot else rows.withColumn("slices", F.lit(None).cast("int"))
-        rows = rows.withColumn("slice", F.coalesce(F.pmod(F.xxhash64("reviewer"), F.col("slices")), F.lit(0)).cast("int")).drop("slices")
-        self.hot, self.n_hot = hot, n_hot
-        self.rows = rows.repartition(parts, "model", "item", "slice").persist(StorageLevel.MEMORY_AND_DISK)
-        stats = self.rows.agg(*[F.count(F.when(F.col(m) == k, 1)).alias(f"{m}{k}") for m in METRICS for k in LABELS], F.approx_count_distinct("reviewer").alias("reviewers")).first()
-        self.shares = {m: [stats[f"{m}{k}"] / max(1, sum(stats[f"{m}{j}"] for j in LABELS)) for k in LABELS] for m in METRICS}
-        self.n_reviewers = int(stats["reviewers"] * 1.2)
-        self.weights = self._iterate()
+        parts = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # whole rows by name, and the rows that are iterated over, by hashes of the names
+        rows = cut(usable_ratings(ratings).withColumn("who", F.xxhash64("reviewer")).withColumn("cell", F.xxhash64("model", "item")))
+        hot = cut(rows.groupBy("cell").count().filter(f"count > {HOT}").select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("slices")))  # at most one row per HOT ratings
+        self.hot, self.n_hot = hot, hot.count()
+        rows = rows.join(small(hot, self.n_hot), "cell", "left") if self.n_hot else rows.withColumn("slices", F.lit(None).cast("int"))
+        rows = rows.withColumn("slice", F.coalesce(F.pmod("who", F.col("slices")), F.lit(0)).cast("int")).drop("slices")
+        self.named = rows.select("reviewer", "who", "model", "item", "cell", "slice", *METRICS)
+        self.rows = rows.select("who", "cell", "slice", *METRICS).repartition(parts, "cell", "slice").persist(StorageLevel.MEMORY_AND_DISK)
+        counts = [F.count(F.when(F.col(m) == k, 1)).alias(f"{m}{k}") for m in METRICS for k in LABELS]
+        per_annotator = cut(self.rows.groupBy("who").agg(*counts))
+        self.n_reviewers = per_annotator.count()
+        total = per_annotator.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per_annotator.columns[1:]]).first()
+        self.shares = {m: [total[f"{m}{k}"] / max(1, sum(total[f"{m}{j}"] for j in LABELS)) for k in LABELS] for m in METRICS}
+        self.scale = {m: math.sqrt(max(1e-9, 1 - sum(p * p for p in self.shares[m]))) for m in METRICS}
+        self.weights = self._iterate(per_annotator)
 
     def per_item(self, sums: list[Column], weighted: DataFrame) -> DataFrame:
         """Sums per item and slice; the slices of a hot item all get its total."""
-        by_slice = weighted.groupBy("model", "item", "slice").agg(*sums)
+        by_slice = weighted.groupBy("cell", "slice").agg(*sums)
         if not self.n_hot:
             return by_slice
-        names = [c for c in by_slice.columns if c not in ("model", "item", "slice")]
-        mark = small(self.hot.select("model", "item"), self.n_hot)
-        total = by_slice.join(mark, ["model", "item"]).groupBy("model", "item").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
-        return by_slice.join(small(total, self.n_hot), ["model", "item"], "left").select("model", "item", "slice", *[F.coalesce(f"all_{c}", c).alias(c) for c in names])
-
-    def _iterate(self) -> DataFrame:
-        start = [F.lit(START * math.sqrt(max(1e-9, 1 - sum(p * p for p in self.shares[m])))).alias(f"v_{m}") for m in METRICS]
-        weights = cut(self.rows.select("reviewer").distinct().select("reviewer", *start))
+        names = [c for c in by_slice.columns if c not in ("cell", "slice")]
+        total = by_slice.join(small(self.hot.select("cell"), self.n_hot), "cell").groupBy("cell").agg(*[F.sum(c).alias(f"all_{c}") for c in names])
+        return by_slice.join(small(total, self.n_hot), "cell", "left").select("cell", "slice", *[F.coalesce(f"all_{c}", c).alias(c) for c in names])
+
+    def _iterate(self, per_annotator: DataFrame) -> DataFrame:
+        """(who, a weight per metric): the leading eigenvector, scaled so that products of weights are expected agreements.
+
+        Per item, `h_k` is the weighted sum of all its points times the point of label k. An annotator's numerator is the sum of
+        h over the own labels, less the own share of it; the denominator is the sum of squared weights of the others.
+        """
+        own = []
+        for m in METRICS:
+            p = self.shares[m]
+            p2 = sum(x * x for x in p)
+            own += [sum((F.col(f"{m}{k}") for k in LABELS), F.lit(0)).alias(f"n_{m}"), sum((F.col(f"{m}{k}") * (1 - 2 * p[i] + p2) for i, k in enumerate(LABELS)), F.lit(0.0)).alias(f"o_{m}")]
+        fixed = cut(per_annotator.select("who", *own))
+        weights = cut(fixed.select("who", *[F.lit(START * self.scale[m]).alias(f"v_{m}") for m in METRICS]))
         for _ in range(STEPS):
-            weighted = self.rows.join(small(weights, self.n_reviewers), "reviewer")
-            items = self.per_item([c for m in METRICS for c in _sums(m, "v")], weighted)
-            both = weighted.join(items.hint("shuffle_hash"), ["model", "item", "slice"])
-            aggs = []
+            weighted = self.rows.join(small(weights, self.n_reviewers), "who")
+            sums = []
+            for m in METRICS:
+                v = F.col(f"v_{m}")
+                sums += [F.sum(F.when(F.col(m) == k, v).otherwise(0.0)).alias(f"s{k}_{m}") for k in LABELS]
+                sums += [F.sum(F.when(F.col(m).isNotNull(), v * v).otherwise(0.0)).alias(f"q_{m}")]
+            points = []
             for m in METRICS:
-                v, p = F.col(f"v_{m}"), self.shares[m]
-                own = F.coalesce(*[F.when(F.col(m) == k, F.col(f"s{k}_{m}")) for k in LABELS])
-                own_p = F.coalesce(*[F.when(F.col(m) == k, F.lit(p[i])) for i, k in enumerate(LABELS)])
-                total = sum((F.col(f"s{k}_{m}") for k in LABELS), F.lit(0.0)) - v
-                centre = sum((F.col(f"s{k}_{m}") * p[i] for i, k in enumerate(LABELS)), F.lit(0.0)) - own_p * v
-                num = own - v - own_p * total - centre + sum(x * x for x in p) * total
-                aggs += [F.sum(F.when(F.col(m).isNotNull(), num)).alias(f"n_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col(f"q_{m}") - v * v)).alias(f"d_{m}"), F.first(v).alias(f"v_{m}")]
-            new = both.groupBy("reviewer").agg(*aggs)
-            step = [F.when(F.col(f"d_{m}") > 1e-12, (F.col(f"v_{m}") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"n_{m}") / F.col(f"d_{m}")))) / 2).otherwise(F.col(f"v_{m}")) for m in METRICS]
-            new = new.select("reviewer", *[s.alias(f"v_{m}") for s, m in zip(step, METRICS)], F.greatest(*[F.abs(s - F.col(f"v_{m}")) for s, m in zip(step, METRICS)]).alias("moved"))
-            new = cut(new)
-            moved = new.agg(F.max("moved")).first()[0]
+                p = self.shares[m]
+                p2 = sum(x * x for x in p)
+                # h_k = s_k - p_k * T - sum(p * s) + p2 * T, with T the sum of s
+                for i, k in enumerate(LABELS):
+                    points.append(sum((F.col(f"s{j}_{m}") * ((1.0 if j == k else 0.0) - p[i] - p[n] + p2) for n, j in enumerate(LABELS)), F.lit(0.0)).alias(f"h{k}_{m}"))
+                points.append(F.col(f"q_{m}"))
+            items = self.per_item(sums, weighted).select("cell", "slice", *points)
+            both = self.rows.join(items.hint("shuffle_hash"), ["cell", "slice"])
+            got = both.groupBy("who").agg(*[c for m in METRICS for c in (F.sum(_label_values(m, [f"h{k}_{m}" for k in LABELS])).alias(f"h_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col(f"q_{m}"))).alias(f"q_{m}"))])
+            new = got.join(weights, "who").join(fixed, "who")
+            step, moved = [], []
+            for m in METRICS:
+                v = F.col(f"v_{m}")
+                num, den = F.col(f"h_{m}") - v * F.col(f"o_{m}"), F.col(f"q_{m}") - v * v * F.col(f"n_{m}")
+                one = F.when(den > 1e-9, (v + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), num / den))) / 2).otherwise(v)
+                step.append(one.alias(f"v_{m}"))
+                moved.append(F.abs(one - v))
+            new = cut(new.select("who", *step, F.greatest(*moved).alias("moved")))
+            top = new.agg(F.max("moved")).first()[0]
             weights = new.drop("moved")
-            if moved is None or moved < CLOSE:
+            if top is None or top < CLOSE:
                 break
         return weights
 
-    def votes(self) -> DataFrame:
-        """Per item and slice: the log-likelihood of each label, and the number of ratings of each."""
+    def items(self) -> DataFrame:
+        """(cell, slice, and per metric the label, each label's probability, the number of ratings and their agreement)."""
         cols = []
         for m in METRICS:
-            scale = math.sqrt(max(1e-9, 1 - sum(p * p for p in self.shares[m])))
-            r = F.least(F.greatest(F.col(f"v_{m}") / scale, F.lit(-0.3)), F.lit(0.97))
+            r = F.least(F.greatest(F.col(f"v_{m}") / self.scale[m], F.lit(-0.3)), F.lit(0.97))
             for i, k in enumerate(LABELS):
                 p = min(max(self.shares[m][i], 1e-6), 1 - 1e-6)
-                right = F.greatest(r + (1 - r) * p, F.lit(0.02))
-                cols.append(F.log(right / F.greatest((1 - r) * p, F.lit(1e-6))).alias(f"w{k}_{m}"))
-        weighted = self.rows.join(small(self.weights.select("reviewer", *cols), self.n_reviewers), "reviewer")
+                cols.append(F.log(F.greatest(r + (1 - r) * p, F.lit(0.02)) / F.greatest((1 - r) * p, F.lit(1e-6))).alias(f"w{k}_{m}"))
+        weighted = self.rows.join(small(self.weights.select("who", *cols), self.n_reviewers), "who")
         sums = [F.sum(F.when(F.col(m) == k, F.col(f"w{k}_{m}")).otherwise(0.0)).alias(f"s{k}_{m}") for m in METRICS for k in LABELS]
         sums += [F.count(F.when(F.col(m) == k, 1)).alias(f"c{k}_{m}") for m in METRICS for k in LABELS]
-        return self.per_item(sums, weighted)
-
-    def items(self) -> DataFrame:
-        """(model, item, slice, and per metric the label, its probability, the number of ratings and their agreement)."""
         out = []
         for m in METRICS:
             score = [F.col(f"s{k}_{m}") + math.log(max(self.shares[m][i], 1e-9)) for i, k in enumerate(LABELS)]
@@ -148,31 +161,37 @@ class Consensus:
             out += [F.when(n > 0, F.coalesce(*[F.when(s == top, F.lit(k)) for s, k in zip(score, LABELS)])).alias(f"label_{m}")]
             out += [F.when(n > 0, F.exp(s - top) / norm).alias(f"p{k}_{m}") for s, k in zip(score, LABELS)]
             out += [n.cast("long").alias(f"n_{m}"), F.when(n > 1, pairs / (n * (n - 1))).alias(f"agree_{m}")]
-        return self.votes().select("model", "item", "slice", *out)
+        return self.per_item(sums, weighted).select("cell", "slice", *out)
 
     def labels(self) -> DataFrame:
         """(model_type, experiment_id, metric, label, probability, ratings, agreement): agreement is the share of pairs of ratings that are equal."""
-        once = self.items().dropDuplicates(["model", "item"]) if self.n_hot else self.items()
+        names = self.named.groupBy("cell").agg(F.first("model").alias("model_type"), F.first("item").cast("long").alias("experiment_id"))
+        once = self.items().dropDuplicates(["cell"]) if self.n_hot else self.items()
         each = [
             F.struct(
                 F.lit(m).alias("metric"), F.col(f"label_{m}").alias("label"), F.greatest(*[F.col(f"p{k}_{m}") for k in LABELS]).alias("probability"), F.col(f"n_{m}").alias("ratings"), F.col(f"agree_{m}").alias("agreement")
             )
             for m in METRICS
         ]
-        return once.select(F.col("model").alias("model_type"), F.col("item").cast("long").alias("experiment_id"), F.explode(F.array(*each)).alias("x")).select("model_type", "experiment_id", "x.*").filter("ratings > 0")
+        return once.join(names, "cell").select("model_type", "experiment_id", F.explode(F.array(*each)).alias("x")).select("model_type", "experiment_id", "x.*").filter("ratings > 0")
 
     def reliability(self) -> DataFrame:
-        """(reviewer, metric, ratings, right_share, reliability): right_share is the expected share of ratings equal to what the item deserves."""
-        both = self.rows.join(self.items().hint("shuffle_hash"), ["model", "item", "slice"])
+        """(reviewer, metric, ratings, right_share, consensus_share, reliability).
+
+        right_share is the expected share of ratings equal to what the item deserves, consensus_share that of ratings equal to
+        the consensus label.
+        """
+        both = self.rows.join(self.items().hint("shuffle_hash"), ["cell", "slice"])
         aggs = []
         for m in METRICS:
-            hit = F.coalesce(*[F.when(F.col(m) == k, F.col(f"p{k}_{m}")) for k in LABELS])
+            hit = _label_values(m, [f"p{k}_{m}" for k in LABELS])
             aggs += [F.count(m).alias(f"n_{m}"), F.avg(hit).alias(f"r_{m}"), F.avg(F.when(F.col(m).isNotNull(), (F.col(m) == F.col(f"label_{m}")).cast("int"))).alias(f"h_{m}")]
-        got = both.groupBy("reviewer").agg(*aggs).join(small(self.weights, self.n_reviewers), "reviewer")
-        each = []
-        for m in METRICS:
-            scale = math.sqrt(max(1e-9, 1 - sum(p * p for p in self.shares[m])))
-            each.append(F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("ratings"), F.col(f"r_{m}").alias("right_share"), F.col(f"h_{m}").alias("consensus_share"), (F.col(f"v_{m}") / scale).alias("reliability")))
+        names = self.named.groupBy("who").agg(F.first("reviewer").alias("reviewer"))
+        got = both.groupBy("who").agg(*aggs).join(self.weights, "who").join(names, "who")
+        each = [
+            F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("ratings"), F.col(f"r_{m}").alias("right_share"), F.col(f"h_{m}").alias("consensus_share"), (F.col(f"v_{m}") / self.scale[m]).alias("reliability"))
+            for m in METRICS
+        ]
         return got.select("reviewer", F.explode(F.array(*each)).alias("x")).select("reviewer", "x.*").filter("ratings > 0")
 
 

@@ -88,4 +88,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    whole = "floor({} + 1e-9)"
+    return {
+        "p3_found": f"""with e as (select prompt_id, min(lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) || difficulty_level::varchar) as c from experiments
+    where lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) in ('indistribution', 'outofdistribution') and difficulty_level between 1 and 3 group by prompt_id),
+m as (select nullif(lower(regexp_replace(model_cat, '[^\\p{{L}}]', '', 'g')), '') as c from partnet_meta),
+pool as (select 'experiments' as pool, c from e union all select 'partnet_meta', c from m where c is not null),
+n as (select pool, count(*) as n from pool group by pool), have as (select pool, c, count(*) as have from pool group by pool, c),
+t as (select *, coalesce(lower(regexp_replace(model_cat, '[^\\p{{L}}]', '', 'g')), lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) || difficulty_level::varchar) as c from sample_targets)
+select target_id from t left join n using (pool) left join have using (pool, c)
+where coalesce(have, 0) < greatest(min_rows, {whole.format("target_share * " + whole.format("sample_frac * n"))})""",
+        "p4_found": """with recursive k as (select distinct dir_id, 'm' || nullif(lower(regexp_replace(model_id, '[^0-9A-Fa-f]', '', 'g')), '') as key from partnet_meta
+    union select dir_id, 'u' || lower(regexp_replace(upload_id, '[^0-9A-Za-z]', '', 'g')) from partnet_meta where regexp_full_match(lower(regexp_replace(upload_id, '[^0-9A-Za-z]', '', 'g')), 'up[0-9]*[1-9][0-9]*')),
+reach(a, b) as (select dir_id, dir_id from partnet_meta union select r.a, y.dir_id from reach r join k x on x.dir_id = r.b join k y on y.key = x.key)
+select min(b) as dir_id_a, a as dir_id_b from reach group by a having min(b) <> a""",
+    }
