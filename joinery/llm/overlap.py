@@ -35,24 +35,27 @@ from joinery.functions.keys import strip
 from joinery.session import cut
 
 #: Width of a grid cell, in the numbers' unit. Cells are centred on 0 so that upright pieces (angles 0 and 90) fall inside one.
-WIDTH = 32.0
+WIDTH = 16.0
 #: The part of its need that a vector may leave outside its inverted-list entries.
 OUTSIDE = 0.6
 TRAIN, EVALUATION = ("train",), ("val", "test")
 
 
 def design_classes(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entry_id, class, side, split_name, source) and (class, n, pieces, trained, evaluated)."""
+    """(entry_id, class, side, split_name, source) and (class, n, pieces, trained, evaluated); a class is named by its smallest entry."""
     split = F.lower(strip(F.col("split_name")))
     side = F.when(split.isin(*TRAIN), "t").when(split.isin(*EVALUATION), "e")
     rows = entries.select("entry_id", split.alias("split_name"), "source", side.alias("side"), last_content(F.col("messages")).alias("design")).filter("entry_id is not null and side is not null and design is not null")
     lines = F.filter(F.transform(F.split("design", LINES), piece_line), lambda x: x.isNotNull())
     numbers = F.array_sort(F.transform(lines, piece_numbers))
-    rows = rows.withColumn("pieces", numbers).filter("size(pieces) > 0").withColumn("class", F.sha2(F.to_json("pieces"), 256)).drop("design")
+    rows = rows.withColumn("pieces", numbers).filter("size(pieces) > 0").withColumn("text", F.sha2(F.to_json("pieces"), 256).cast("binary")).drop("design")
     rows = cut(rows)
-    member = rows.select("entry_id", "class", "side", "split_name", "source")
-    classes = rows.groupBy("class").agg(F.first("pieces").alias("pieces"), F.max((F.col("side") == "t").cast("int")).alias("trained"), F.max((F.col("side") == "e").cast("int")).alias("evaluated"))
-    return member, classes.withColumn("n", F.size("pieces"))
+    classes = rows.groupBy("text").agg(
+        F.min("entry_id").cast("bigint").alias("class"), F.first("pieces").alias("pieces"), F.max((F.col("side") == "t").cast("int")).alias("trained"), F.max((F.col("side") == "e").cast("int")).alias("evaluated")
+    )
+    classes = cut(classes.withColumn("n", F.size("pieces")))
+    member = rows.select("entry_id", "text", "side", "split_name", "source").join(classes.select("text", "class"), "text").drop("text")
+    return member, classes.drop("text")
 
 
 def _cells(number: Column, tolerance: float, width: float) -> Column:
@@ -126,7 +129,6 @@ def matched(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
 
 def class_pairs(classes: DataFrame, share: float = 0.8, tolerance: float = 2.0) -> DataFrame:
     """(left, right, cosine, matched): classes of the training and of the evaluation side that are the same or nearly so."""
-    classes = cut(classes)
     needs = classes.select("class", F.ceil(F.col("n") * share - 1e-9).cast("double").alias("need"))
     pairs = candidates(vectors(classes.filter("trained = 1"), 0.0), vectors(classes.filter("evaluated = 1"), tolerance), needs)
     text = classes.select("class", "n", "pieces")
@@ -139,7 +141,7 @@ def class_pairs(classes: DataFrame, share: float = 0.8, tolerance: float = 2.0)
             out = pdf[["left", "right", "cosine"]].assign(matched=m)
             yield out[[x >= y for x, y in zip(m, need)]]
 
-    return both.select("left", "right", "cosine", "a", "b").mapInPandas(check, "left string, right string, cosine double, matched int")
+    return both.select("left", "right", "cosine", "a", "b").mapInPandas(check, "left bigint, right bigint, cosine double, matched int")
 
 
 def found(entries: DataFrame, share: float = 0.8, tolerance: float = 2.0) -> DataFrame:
