@@ -169,3 +169,8 @@ def order_rotation(order: Column) -> Column:
     """array<array<int>>: the rotation that brings axis order[i] to axis i."""
     sign = order_parity(order)
     return F.array(*[F.array(*[F.when(order[i] == j, sign if i == 2 else F.lit(1)).otherwise(0) for j in range(3)]) for i in range(3)])
+
+
+def closest_pair(sizes: Vector) -> Column:
+    """struct<off, i, j>: which two of three sizes differ least; of ties the first."""
+    return F.array_min(F.array(*[F.struct(F.abs(sizes[i] - sizes[j]).alias("off"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (0, 2), (1, 2))]))

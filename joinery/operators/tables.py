@@ -94,3 +94,13 @@ def run_ends(runs: DataFrame, key: list[str]) -> DataFrame:
 def not_among(a: Column, b: Column) -> Column:
     """The elements of an array that are not in another."""
     return F.array_except(a, b)
+
+
+def every_nth(rows: DataFrame, index: str, n: int) -> DataFrame:
+    """The rows of which the index is a multiple of n."""
+    return rows.filter(F.col(index) % n == 0)
+
+
+def at_most(rows: DataFrame, n: int) -> DataFrame:
+    """No more than n rows."""
+    return rows.limit(n)

@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from joinery.functions import geometry as G
 from joinery.functions.designs import last_content
 from joinery.functions.scalars import grid_side, linspace, round_even
+from joinery.operators import completions as C
 from joinery.operators import designs as D
 from joinery.operators import solids as S
+from joinery.operators import tables as T
+from joinery.operators import voxels as V
+from joinery.operators.dataset import prefixes
 from joinery.session import spread, table
 
 
@@ -73,6 +77,31 @@ def reward_summary(spark: SparkSession, d: str) -> DataFrame:
     return S.reward_summary(S.rewards(_parsed(spark, d)))
 
 
+def completion_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Rewards of the true next lines after random prefixes of the training texts."""
+    rows = prefixes(spread(table(spark, d, "finetuning_data")).filter("messages is not null"), ["entry_id"])
+    return C.completion_rewards(rows.select("entry_id", "prefix", F.col("next_line").alias("completion"), F.col("next_line").alias("target"))).select("entry_id", round_even(F.col("reward"), 6).alias("reward"), "reason")
+
+
+def closest_sizes(spark: SparkSession, d: str) -> DataFrame:
+    pair = G.closest_pair((F.col("dx"), F.col("dy"), F.col("dz")))
+    return D.part_rows(_parsed(spark, d)).select(pair.alias("x")).groupBy("x.i", "x.j").agg(F.count("*").alias("n"), F.sum("x.off").cast("bigint").alias("off"))
+
+
+def tenth_corners(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth corner of the designs' parts."""
+    points = D.corner_points(_parsed(spark, d)).withColumn("idx", F.col("part_idx") * 8 + F.col("pt_idx"))
+    return T.every_nth(points, "idx", 10).groupBy("entry_id").agg(F.count("*").alias("points"), round_even(F.sum("z"), 3).alias("z"))
+
+
+def voxel_fits(spark: SparkSession, d: str) -> DataFrame:
+    """How well one box around a design agrees with its parts, in voxels of 50."""
+    parsed = _parsed(spark, d)
+    box = box_fits(spark, d).filter("dx is not null").select("entry_id", F.lit("b").alias("side"), F.struct(*G.FIELDS).alias("p"))
+    parts = parsed.select("entry_id", F.lit("a").alias("side"), F.explode("parts").alias("p"))
+    return V.scored_fit(parts.unionByName(box), ["entry_id"], 50.0)
+
+
 def design_extents(spark: SparkSession, d: str) -> DataFrame:
     e = D.extents(D.corner_points(_parsed(spark, d)), "entry_id")
     return e.select("entry_id", *[round_even(F.col(c), 6).alias(c) for c in ("wx", "wy", "wz", "mx", "my", "mz")])
@@ -119,7 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             design_parts, design_readable, design_text_sorted, part_rotations, canonical_rotations, neighbour_gaps, upright_overlaps, neighbour_scores, part_rewards, reward_summary,
-            design_extents, normalised_extents, library_fit, footprint_fit, axis_orders, box_fits, layout,
+            completion_rewards, closest_sizes, tenth_corners, voxel_fits, design_extents, normalised_extents, library_fit, footprint_fit, axis_orders, box_fits, layout,
         )
     }
 
@@ -162,6 +191,11 @@ gaps as (select entry_id, i, sqrt(list_dot_product(n, n)) as len, abs(list_dot_p
     - (abs(list_dot_product(n, a.u)) * a.dx + abs(list_dot_product(n, a.v)) * a.dy + abs(list_dot_product(n, a.w)) * a.dz + abs(list_dot_product(n, b.u)) * b.dx + abs(list_dot_product(n, b.v)) * b.dy + abs(list_dot_product(n, b.w)) * b.dz) / 2 as gap from axes)
 select entry_id, i::int as i, round_even(greatest(0.0, max(gap / len)), 6) as gap from gaps where len > 1e-12 group by entry_id, i""",
         "upright_overlaps": f"with {_PARTS}, {_PAIRS.format(t='parts')} select entry_id, i::int as i, {common} as volume from pairs where {up}",
+        "closest_sizes": f"""with {_PARTS}, o as (select least(abs(dx - dy), abs(dx - dz), abs(dy - dz)) as off, dx, dy, dz from parts)
+select case when off = abs(dy - dz) and off < abs(dx - dy) and off < abs(dx - dz) then 1 else 0 end as i, case when off = abs(dx - dy) then 1 else 2 end as j, count(*) as n, sum(off)::bigint as off from o group by 1, 2""",
+        "tenth_corners": f"""with {_PARTS}, {_TURN}, n as (select entry_id, cz + u[3]*dx*i + v[3]*dy*j + w[3]*dz*k as z, part_idx * 8 + (case when i > 0 then 4 else 0 end) + (case when j > 0 then 2 else 0 end) + (case when k > 0 then 1 else 0 end) as idx
+    from turned, (values (-0.5::double), (0.5)) s1(i), (values (-0.5::double), (0.5)) s2(j), (values (-0.5::double), (0.5)) s3(k))
+select entry_id, count(*) as points, round_even(sum(z), 3) as z from n where idx % 10 = 0 group by entry_id""",
         "design_extents": f"with {_PARTS}, {_TURN}, {_POINTS} select entry_id, " + ", ".join(f"round_even(max({c}) - min({c}), 6) as w{c}, round_even(avg({c}), 6) as m{c}" for c in "xyz") + " from points group by entry_id",
         "normalised_extents": f"""with {_PARTS}, {_TURN}, {_POINTS}, e as (select entry_id, max(x) - min(x) as a, max(z) - min(z) as b, max(y) - min(y) as c from points group by entry_id)
 select entry_id, 100.0::double as widest, round_even(100 * a / greatest(a, b), 3) as wx, round_even(100 * b / greatest(a, b), 3) as wy, round_even(100 * c / greatest(a, b), 3) as wz from e""",

@@ -204,3 +204,22 @@ def test_hierarchy_and_scale(spark):
     pts = spark.createDataFrame([("d", "a", float(x), float(y), float(z)) for x, y, z in corners(np.array([10.0, 20, 30, 0, 0, 0, 0, 0, 0]))], "dir_id string, mesh_id string, x double, y double, z double")
     many = H.mesh_boxes(H.scaled(pts, [1.0, 2.0]), ["dir_id", "scale"])
     assert sorted(round(r["p"]["dx"] * r["p"]["dy"] * r["p"]["dz"]) for r in many.collect()) == [6000, 48000]
+
+
+def test_completions(spark):
+    from joinery.operators import completions as C
+
+    first = "20 20 20 100 100 10 0 0 0"
+    rows = [
+        (1, "bad", first, "x"), (2, first, "EOS", "EOS"), (3, first, first, "EOS"), (4, first, "nonsense", "x"), (5, first, "EOS", "x"), (6, "", first, "x"), (7, None, None, None),
+        (8, first + "\n", "20 20 20 100 100 33 0 0 0\n", "x"), (9, first, "chat\n20 20 20 100 100 25 0 0 0", "x"),
+    ]
+    out = C.completion_rewards(spark.createDataFrame(rows, "entry_id int, prefix string, completion string, target string"))
+    got = {r["entry_id"]: (r["reason"], round(r["reward"], 6)) for r in out.collect()}
+    assert got[1] == ("error_parsing_prompt", 0) and got[2] == ("termination", 1) and got[3] == ("termination", 0)
+    assert got[4] == got[5] == got[7] == ("invalid_syntax", 0) and got[6] == ("first_part", 0.5)
+    assert got[8] == ("part_gap", round(1 - math.tanh(0.6), 6)) and got[9][0] == "overlap"
+    s = C.summary(out).first()
+    assert s["reasons"]["invalid_syntax"] == 3 and 0 < s["mean"] < 1 and s["std"] == pytest.approx(np.std([v for _, v in got.values()]), abs=1e-5)
+    pair = spark.createDataFrame([(1.0, 9.0, 8.5)], "a double, b double, c double").select(G.closest_pair((F.col("a"), F.col("b"), F.col("c"))).alias("x")).first()["x"]
+    assert (pair["i"], pair["j"]) == (1, 2)
