@@ -35,7 +35,7 @@ METRICS = ("assemblability", "prompt_satisfaction", "design_quality")
 LABELS = (1, 2, 3)
 #: Ratings of one item from which it is cut into slices.
 HOT = 50_000
-START, STEPS, CLOSE = 0.6, 30, 2e-3
+START, STEPS, CLOSE = 0.6, 20, 5e-3
 
 
 def usable_ratings(ratings: DataFrame) -> DataFrame:
@@ -59,9 +59,13 @@ def usable_ratings(ratings: DataFrame) -> DataFrame:
     return best.select("reviewer", "model", "item", *[F.pmod(F.col(m), F.lit(4)).cast("int").alias(m) for m in METRICS]).filter(" or ".join(f"{m} is not null" for m in METRICS))
 
 
-def _label_values(m: str, names: list[str]) -> Column:
-    """Of one column per label, the one of the row's label; null without a label."""
-    return F.coalesce(*[F.when(F.col(m) == k, F.col(n)) for k, n in zip(LABELS, names)])
+def _of_label(m: str, names: list[str]) -> str:
+    """SQL: of one column per label, the one of the row's label; null without a label."""
+    return f"case {m} " + " ".join(f"when {k} then {n}" for k, n in zip(LABELS, names)) + " end"
+
+
+def _sum(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
 class Consensus:
@@ -85,9 +89,9 @@ class Consensus:
         self.scale = {m: math.sqrt(max(1e-9, 1 - sum(p * p for p in self.shares[m]))) for m in METRICS}
         self.weights = self._iterate(per_annotator)
 
-    def per_item(self, sums: list[Column], weighted: DataFrame) -> DataFrame:
+    def per_item(self, sums: list[str], weighted: DataFrame) -> DataFrame:
         """Sums per item and slice; the slices of a hot item all get its total."""
-        by_slice = weighted.groupBy("cell", "slice").agg(*sums)
+        by_slice = weighted.groupBy("cell", "slice").agg(*map(F.expr, sums))
         if not self.n_hot:
             return by_slice
         names = [c for c in by_slice.columns if c not in ("cell", "slice")]
@@ -104,64 +108,56 @@ class Consensus:
         for m in METRICS:
             p = self.shares[m]
             p2 = sum(x * x for x in p)
-            own += [sum((F.col(f"{m}{k}") for k in LABELS), F.lit(0)).alias(f"n_{m}"), sum((F.col(f"{m}{k}") * (1 - 2 * p[i] + p2) for i, k in enumerate(LABELS)), F.lit(0.0)).alias(f"o_{m}")]
-        fixed = cut(per_annotator.select("who", *own))
-        weights = cut(fixed.select("who", *[F.lit(START * self.scale[m]).alias(f"v_{m}") for m in METRICS]))
+            own += [f"{_sum([f'{m}{k}' for k in LABELS])} as n_{m}", f"{_sum([f'{m}{k} * {1 - 2 * p[i] + p2!r}D' for i, k in enumerate(LABELS)])} as o_{m}"]
+        fixed = cut(per_annotator.selectExpr("who", *own))
+        weights = fixed.selectExpr("who", *[f"{START * self.scale[m]!r}D as v_{m}" for m in METRICS])
         for _ in range(STEPS):
             weighted = self.rows.join(small(weights, self.n_reviewers), "who")
-            sums = []
-            for m in METRICS:
-                v = F.col(f"v_{m}")
-                sums += [F.sum(F.when(F.col(m) == k, v).otherwise(0.0)).alias(f"s{k}_{m}") for k in LABELS]
-                sums += [F.sum(F.when(F.col(m).isNotNull(), v * v).otherwise(0.0)).alias(f"q_{m}")]
-            points = []
+            sums, points, steps = [], [], []
             for m in METRICS:
                 p = self.shares[m]
                 p2 = sum(x * x for x in p)
+                sums += [f"sum(if({m} = {k}, v_{m}, 0D)) as s{k}_{m}" for k in LABELS] + [f"sum(if({m} is not null, v_{m} * v_{m}, 0D)) as q_{m}"]
                 # h_k = s_k - p_k * T - sum(p * s) + p2 * T, with T the sum of s
-                for i, k in enumerate(LABELS):
-                    points.append(sum((F.col(f"s{j}_{m}") * ((1.0 if j == k else 0.0) - p[i] - p[n] + p2) for n, j in enumerate(LABELS)), F.lit(0.0)).alias(f"h{k}_{m}"))
-                points.append(F.col(f"q_{m}"))
-            items = self.per_item(sums, weighted).select("cell", "slice", *points)
+                points += [f"{_sum([f's{j}_{m} * {(j == k) - p[i] - p[n] + p2!r}D' for n, j in enumerate(LABELS)])} as h{k}_{m}" for i, k in enumerate(LABELS)] + [f"q_{m}"]
+                num, den = f"(h_{m} - v_{m} * o_{m})", f"(q_{m} - v_{m} * v_{m} * n_{m})"
+                steps += [f"v_{m}", f"n_{m}", f"if({den} > 1e-9, {num} / {den}, v_{m}) as t_{m}"]
+            items = self.per_item(sums, weighted).selectExpr("cell", "slice", *points)
             both = self.rows.join(items.hint("shuffle_hash"), ["cell", "slice"])
-            got = both.groupBy("who").agg(*[c for m in METRICS for c in (F.sum(_label_values(m, [f"h{k}_{m}" for k in LABELS])).alias(f"h_{m}"), F.sum(F.when(F.col(m).isNotNull(), F.col(f"q_{m}"))).alias(f"q_{m}"))])
+            got = both.groupBy("who").agg(*[F.expr(x) for m in METRICS for x in (f"sum({_of_label(m, [f'h{k}_{m}' for k in LABELS])}) as h_{m}", f"sum(if({m} is not null, q_{m}, null)) as q_{m}")])
             new = got.join(weights, "who").join(fixed, "who")
-            step, moved = [], []
+            raw = cut(new.selectExpr("who", *steps))
+            # from weights c times too large the step leads to weights c times too small; c is the root of this ratio
+            size = raw.agg(*[F.sum(F.expr(f"n_{m} * v_{m} * {x}_{m}")).alias(f"{x}_{m}") for m in METRICS for x in ("v", "t")]).first()
+            new_v = []
             for m in METRICS:
-                v = F.col(f"v_{m}")
-                num, den = F.col(f"h_{m}") - v * F.col(f"o_{m}"), F.col(f"q_{m}") - v * v * F.col(f"n_{m}")
-                one = F.when(den > 1e-9, (v + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), num / den))) / 2).otherwise(v)
-                step.append(one.alias(f"v_{m}"))
-                moved.append(F.abs(one - v))
-            new = cut(new.select("who", *step, F.greatest(*moved).alias("moved")))
-            top = new.agg(F.max("moved")).first()[0]
-            weights = new.drop("moved")
+                v, t = size[f"v_{m}"] or 0.0, size[f"t_{m}"] or 0.0
+                c = math.sqrt(v / t) if v > 0 and t > 0 else 1.0
+                new_v.append(f"greatest(-1D, least(1D, t_{m} * {c!r}D))")
+            top = raw.selectExpr(f"max(greatest({', '.join(f'abs({x} - v_{m})' for x, m in zip(new_v, METRICS))}))").first()[0]
+            weights = raw.selectExpr("who", *[f"{x} as v_{m}" for x, m in zip(new_v, METRICS)])
             if top is None or top < CLOSE:
                 break
         return weights
 
     def items(self) -> DataFrame:
         """(cell, slice, and per metric the label, each label's probability, the number of ratings and their agreement)."""
-        cols = []
+        cols, sums, out = [], [], []
         for m in METRICS:
-            r = F.least(F.greatest(F.col(f"v_{m}") / self.scale[m], F.lit(-0.3)), F.lit(0.97))
+            r = f"least(greatest(v_{m} / {self.scale[m]!r}D, -0.3D), 0.97D)"
             for i, k in enumerate(LABELS):
-                p = min(max(self.shares[m][i], 1e-6), 1 - 1e-6)
-                cols.append(F.log(F.greatest(r + (1 - r) * p, F.lit(0.02)) / F.greatest((1 - r) * p, F.lit(1e-6))).alias(f"w{k}_{m}"))
-        weighted = self.rows.join(small(self.weights.select("who", *cols), self.n_reviewers), "who")
-        sums = [F.sum(F.when(F.col(m) == k, F.col(f"w{k}_{m}")).otherwise(0.0)).alias(f"s{k}_{m}") for m in METRICS for k in LABELS]
-        sums += [F.count(F.when(F.col(m) == k, 1)).alias(f"c{k}_{m}") for m in METRICS for k in LABELS]
-        out = []
-        for m in METRICS:
-            score = [F.col(f"s{k}_{m}") + math.log(max(self.shares[m][i], 1e-9)) for i, k in enumerate(LABELS)]
-            top = F.greatest(*score)
-            norm = sum((F.exp(s - top) for s in score), F.lit(0.0))
-            n = sum((F.col(f"c{k}_{m}") for k in LABELS), F.lit(0))
-            pairs = sum((F.col(f"c{k}_{m}") * (F.col(f"c{k}_{m}") - 1) for k in LABELS), F.lit(0))
-            out += [F.when(n > 0, F.coalesce(*[F.when(s == top, F.lit(k)) for s, k in zip(score, LABELS)])).alias(f"label_{m}")]
-            out += [F.when(n > 0, F.exp(s - top) / norm).alias(f"p{k}_{m}") for s, k in zip(score, LABELS)]
-            out += [n.cast("long").alias(f"n_{m}"), F.when(n > 1, pairs / (n * (n - 1))).alias(f"agree_{m}")]
-        return self.per_item(sums, weighted).select("cell", "slice", *out)
+                p = f"{min(max(self.shares[m][i], 1e-6), 1 - 1e-6)!r}D"
+                cols.append(f"ln(greatest({r} + (1 - {r}) * {p}, 0.02D) / greatest((1 - {r}) * {p}, 1e-6D)) as w{k}_{m}")
+            sums += [f"sum(if({m} = {k}, w{k}_{m}, 0D)) as s{k}_{m}" for k in LABELS] + [f"count(if({m} = {k}, 1, null)) as c{k}_{m}" for k in LABELS]
+            score = [f"(s{k}_{m} + {math.log(max(self.shares[m][i], 1e-9))!r}D)" for i, k in enumerate(LABELS)]
+            top = f"greatest({', '.join(score)})"
+            norm = _sum([f"exp({x} - {top})" for x in score])
+            n = _sum([f"c{k}_{m}" for k in LABELS])
+            out.append(f"case when {n} = 0 then null " + " ".join(f"when {x} = {top} then {k}" for x, k in zip(score, LABELS)) + f" end as label_{m}")
+            out += [f"if({n} > 0, exp({x} - {top}) / {norm}, null) as p{k}_{m}" for x, k in zip(score, LABELS)]
+            out += [f"{n} as n_{m}", f"if({n} > 1, {_sum([f'c{k}_{m} * (c{k}_{m} - 1)' for k in LABELS])} / ({n} * ({n} - 1)), null) as agree_{m}"]
+        weighted = self.rows.join(small(self.weights.selectExpr("who", *cols), self.n_reviewers), "who")
+        return self.per_item(sums, weighted).selectExpr("cell", "slice", *out)
 
     def labels(self) -> DataFrame:
         """(model_type, experiment_id, metric, label, probability, ratings, agreement): agreement is the share of pairs of ratings that are equal."""
@@ -182,12 +178,9 @@ class Consensus:
         the consensus label.
         """
         both = self.rows.join(self.items().hint("shuffle_hash"), ["cell", "slice"])
-        aggs = []
-        for m in METRICS:
-            hit = _label_values(m, [f"p{k}_{m}" for k in LABELS])
-            aggs += [F.count(m).alias(f"n_{m}"), F.avg(hit).alias(f"r_{m}"), F.avg(F.when(F.col(m).isNotNull(), (F.col(m) == F.col(f"label_{m}")).cast("int"))).alias(f"h_{m}")]
+        aggs = [x for m in METRICS for x in (f"count({m}) as n_{m}", f"avg({_of_label(m, [f'p{k}_{m}' for k in LABELS])}) as r_{m}", f"avg(cast({m} = label_{m} as int)) as h_{m}")]
         names = self.named.groupBy("who").agg(F.first("reviewer").alias("reviewer"))
-        got = both.groupBy("who").agg(*aggs).join(self.weights, "who").join(names, "who")
+        got = both.groupBy("who").agg(*map(F.expr, aggs)).join(self.weights, "who").join(names, "who")
         each = [
             F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("ratings"), F.col(f"r_{m}").alias("right_share"), F.col(f"h_{m}").alias("consensus_share"), (F.col(f"v_{m}") / self.scale[m]).alias("reliability"))
             for m in METRICS
