@@ -35,25 +35,24 @@ METRICS = ("assemblability", "prompt_satisfaction", "design_quality")
 LABELS = (1, 2, 3)
 #: Ratings of one item from which it is cut into slices.
 HOT = 50_000
-START, STEPS, CLOSE = 0.6, 20, 5e-3
+START, STEPS, CLOSE = 0.6, 20, 1e-3
 
 
 def usable_ratings(ratings: DataFrame) -> DataFrame:
     """(reviewer, model, item, one label column per metric): one row per reviewer and design, labels null where unusable."""
+
     def label(m: str) -> Column:
         v = number(F.col(m))
         return F.when(v.isin(*[float(x) for x in LABELS]), v.cast("long"))
 
-    when = F.coalesce(F.unix_micros(F.col("rated_at").cast("timestamp")), F.lit(-(1 << 55)))
-    late = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(-(1 << 55)))
-    rows = ratings.select(
-        "reviewer", F.lower(strip(F.col("model_type"))).alias("model"), number(F.col("experiment_id")).alias("item"), when.alias("at"), late.alias("late"), *[label(m).alias(m) for m in METRICS]
-    ).filter("reviewer is not null and model is not null and item is not null")
-    # the latest usable cell of each metric: (time, load time, label) packed into one decimal that orders alike
+    when = F.coalesce(F.unix_micros(F.col("rated_at").cast("timestamp")), F.lit(-(1 << 60)))
+    rows = ratings.select("reviewer", F.lower(strip(F.col("model_type"))).alias("model"), number(F.col("experiment_id")).alias("item"), when.alias("at"), *[label(m).alias(m) for m in METRICS]).filter(
+        "reviewer is not null and model is not null and item is not null"
+    )
+
     def rank(m: str) -> Column:
-        span = F.expr("cast(1125899906842624 as decimal(20,0))")  # 2^50 microseconds of load time, clipped
-        late_part = F.least(F.greatest(F.col("late") - F.col("at") + F.lit(1 << 49), F.lit(0)), F.lit((1 << 50) - 1))
-        return F.max(F.when(F.col(m).isNotNull(), (F.col("at").cast("decimal(18,0)") * span + late_part) * 4 + F.col(m))).alias(m)
+        """The latest time with a usable cell and its label, as one number that orders alike."""
+        return F.max(F.when(F.col(m).isNotNull(), F.col("at") * 4 + F.col(m))).alias(m)
 
     best = rows.groupBy("reviewer", "model", "item").agg(*[rank(m) for m in METRICS])
     return best.select("reviewer", "model", "item", *[F.pmod(F.col(m), F.lit(4)).cast("int").alias(m) for m in METRICS]).filter(" or ".join(f"{m} is not null" for m in METRICS))
@@ -134,7 +133,8 @@ class Consensus:
                 v, t = size[f"v_{m}"] or 0.0, size[f"t_{m}"] or 0.0
                 c = math.sqrt(v / t) if v > 0 and t > 0 else 1.0
                 new_v.append(f"greatest(-1D, least(1D, t_{m} * {c!r}D))")
-            top = raw.selectExpr(f"max(greatest({', '.join(f'abs({x} - v_{m})' for x, m in zip(new_v, METRICS))}))").first()[0]
+            moved = " + ".join(f"n_{m} * abs({x} - v_{m})" for x, m in zip(new_v, METRICS))
+            top = raw.selectExpr(f"sum({moved}) / sum({' + '.join(f'n_{m}' for m in METRICS)})").first()[0]  # the mean over ratings
             weights = raw.selectExpr("who", *[f"{x} as v_{m}" for x, m in zip(new_v, METRICS)])
             if top is None or top < CLOSE:
                 break
