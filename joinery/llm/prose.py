@@ -78,7 +78,7 @@ def _order(lang: str, words: list[str]) -> tuple[int, int]:
 
 
 class Line:
-    __slots__ = ("size", "words", "common", "digits", "symbols", "longest", "fields", "ends", "lower", "cjk")
+    __slots__ = ("size", "words", "common", "digits", "symbols", "longest", "fields", "ends", "lower", "cjk", "sentence")
 
     def __init__(self, raw: str) -> None:
         text = _TAG.sub(" ", _SPEAKER.sub("", _QUOTE.sub("", raw))).replace("\u00a0", " ").replace("\u00ad", "").replace("\u200b", "")
@@ -94,6 +94,9 @@ class Line:
         self.ends = bool(_CLAUSE.search(text))
         self.lower = text[:1].islower()
         self.cjk = len(_CJK.findall(text))
+        # a sentence of a language without a word list: begins with a capital, ends with a mark, has short and varied words
+        n, short = len(self.words), sum(len(w) <= 3 for w in self.words)
+        self.sentence = self.ends and n >= 8 and text.strip()[:1].isupper() and 0.15 * n <= short <= 0.7 * n and len(set(self.words)) > 0.7 * n and text.count(",") <= n / 5 and self.symbols == 0 and self.digits <= n / 4
 
 
 def _prose(line: Line) -> float:
@@ -107,6 +110,8 @@ def _prose(line: Line) -> float:
     if letters < 0.6 * line.size:
         return 0.0
     share = line.common / n
+    if share < 0.2 and line.sentence:
+        return 1.0
     if n >= 12:
         return float(share >= 0.2)
     if n >= 5:

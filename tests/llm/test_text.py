@@ -91,6 +91,8 @@ PROSE = [
     "Das Kind hat sich auf den Schemel gestellt, und er hat es ohne Knarren getragen.",
     "La table est restée dans l'atelier et elle ne bouge toujours pas.",
     "En el dibujo todo parece recto, pero el tablero se hunde en el centro.",
+    "Stół jest za niski i dlatego nie da się przy nim wygodnie siedzieć.",
+    "Стол слишком низкий, и поэтому за ним не так удобно сидеть весь день.",
 ]
 OTHER = [
     "- Leg: oak, 20 mm.\n- 5 x rail, birch\n- Clamp",
