@@ -130,10 +130,10 @@ def test_exact_ranks(spark):
 
 def test_not_prose(spark):
     texts = PROSE + OTHER + [None, "", "  \n"] + PROSE[:2] * 20
-    docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)] + [(8, OTHER[0], "x", 0.0), (None, OTHER[0], "x", 0.0)], DOC + ", language string, score double")
+    docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)] + [(len(PROSE), OTHER[0], "x", 0.0), (None, OTHER[0], "x", 0.0)], DOC + ", language string, score double")
     got = {r["doc_id"] for r in quality.not_prose(docs).collect()}
     assert got == set(range(len(PROSE), len(PROSE) + len(OTHER)))
-    assert quality.scored(docs).filter("doc_id = 8").count() == 2
+    assert quality.scored(docs).filter(f"doc_id = {len(PROSE)}").count() == 2
     assert quality.not_prose(docs.filter("false")).count() == 0
     long = spark.createDataFrame([(1, PROSE[0] + "\n" + "x=1;\n" * 100000), (2, PROSE[0] * 3000)], DOC)
     assert [r["doc_id"] for r in quality.not_prose(long).collect()] == [1]
