@@ -109,7 +109,7 @@ def design_extents(spark: SparkSession, d: str) -> DataFrame:
 
 def normalised_extents(spark: SparkSession, d: str) -> DataFrame:
     e = D.extents(D.normalised(D.corner_points(_parsed(spark, d)), "entry_id"), "entry_id")
-    return e.select("entry_id", round_even(F.greatest("wx", "wy"), 6).alias("widest"), *[round_even(F.col(c), 3).alias(c) for c in ("wx", "wy", "wz")])
+    return e.select("entry_id", round_even(F.greatest("wx", "wy"), 6).alias("widest"), *[round_even(F.col(c), 6).alias(c) for c in ("wx", "wy", "wz")])
 
 
 def library_fit(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ select case when off = abs(dy - dz) and off < abs(dx - dy) and off < abs(dx - dz
 select entry_id, count(*) as points, round_even(sum(z), 3) as z from n where idx % 10 = 0 group by entry_id""",
         "design_extents": f"with {_PARTS}, {_TURN}, {_POINTS} select entry_id, " + ", ".join(f"round_even(max({c}) - min({c}), 6) as w{c}, round_even(avg({c}), 6) as m{c}" for c in "xyz") + " from points group by entry_id",
         "normalised_extents": f"""with {_PARTS}, {_TURN}, {_POINTS}, e as (select entry_id, max(x) - min(x) as a, max(z) - min(z) as b, max(y) - min(y) as c from points group by entry_id)
-select entry_id, 100.0::double as widest, round_even(100 * a / greatest(a, b), 3) as wx, round_even(100 * b / greatest(a, b), 3) as wy, round_even(100 * c / greatest(a, b), 3) as wz from e""",
+select entry_id, 100.0::double as widest, round_even(100 * a / greatest(a, b), 6) as wx, round_even(100 * b / greatest(a, b), 6) as wy, round_even(100 * c / greatest(a, b), 6) as wz from e""",
         "library_fit": f"""with {_PARTS}, {_sql_table("lib", G.LIBRARY, "id, x, y, z")}, sized as (select entry_id, part_idx, list_sort([dx, dy, dz]) as s from parts),
 best as (select entry_id, part_idx, id, sqrt(pow(s[1] - l[1], 2) + pow(s[2] - l[2], 2) + pow(s[3] - l[3], 2)) as misfit from sized, (select id, list_sort([x, y, z]) as l from lib) qualify row_number() over (partition by entry_id, part_idx order by misfit, id) = 1)
 select id as part_id, count(*) as n, round_even(avg(misfit), 3) as misfit from best group by id""",
