@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinery.functions import geometry as G
 from joinery.operators.tables import iou
 
+#: Columns of voxels that a task holds at once.
+COLUMNS = 200_000
+
 
 def of_boxes(boxes: DataFrame, keep: list[str], size: float) -> DataFrame:
     """(keep, i, j, k): the distinct voxels of edge `size` whose centre lies in a box (column p, a box struct).
@@ -32,10 +39,129 @@ def box_iou(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return iou(of_boxes(a, [], size), of_boxes(b, [], size))
 
 
+def _first(low: np.ndarray, end: np.ndarray, base: np.ndarray, slope: np.ndarray, centre: np.ndarray, limit: np.ndarray, above: bool, size: float) -> np.ndarray:
+    """Per column, the first k from low on, else end, whose centre has base + offset * slope >= limit (above: > limit); slopes are positive.
+
+    The sum never falls with k, so the guess by division is moved until the test of `of_boxes` itself holds on one side only.
+    """
+
+    def holds(at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        x = base[at] + ((k + 0.5) * size - centre[at]) * slope[at]
+        return x > limit[at] if above else x >= limit[at]
+
+    guess = np.ceil(((limit - base) / slope + centre) / size - 0.5)
+    k = np.clip(guess, low, end).astype(np.int64)
+    at = np.flatnonzero(k < end)
+    while len(at := at[~holds(at, k[at])]):
+        k[at] += 1
+        at = at[k[at] < end[at]]
+    at = np.flatnonzero(k > low)
+    while len(at := at[holds(at, k[at] - 1)]):
+        k[at] -= 1
+        at = at[k[at] > low[at]]
+    return k
+
+
+def _runs(b: dict[str, np.ndarray], box: np.ndarray, i: np.ndarray, j: np.ndarray, size: float) -> tuple[np.ndarray, ...]:
+    """(box, i, j, first k, end): the voxels of each box in each column (i, j) of its range; they are one run, as a box is convex."""
+    x, y = (i + 0.5) * size - b["c"][box, 0], (j + 0.5) * size - b["c"][box, 1]
+    base = np.stack([x * b["axes"][box, 0, n] + y * b["axes"][box, 1, n] for n in range(3)])
+    half = b["d"] / 2
+    flat = b["axes"][:, 2, :] == 0
+    keep = np.all([~flat[box, n] | (np.abs(base[n]) <= half[box, n]) for n in range(3)], axis=0)
+    box, i, j, base = box[keep], i[keep], j[keep], base[:, keep]
+    low, end = b["lo"][box, 2].copy(), b["hi"][box, 2] + 1
+    for n in range(3):
+        at = np.flatnonzero(~flat[box, n] & (low < end))
+        slope, h, centre = b["axes"][box[at], 2, n], half[box[at], n], b["c"][box[at], 2]
+        rising = base[n, at] * np.sign(slope)
+        start = _first(low[at], end[at], rising, np.abs(slope), centre, -h, False, size)
+        end[at] = _first(low[at], end[at], rising, np.abs(slope), centre, h, True, size)
+        low[at] = start
+    some = low < end
+    return box[some], i[some], j[some], low[some], end[some]
+
+
+def _lengths(start: np.ndarray, end: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+    """Per owner, how many integers lie in at least one of the ranges start <= x < end; ranges of different owners don't meet."""
+    order = np.argsort(start, kind="stable")
+    start, end, owner = start[order], end[order], owner[order]
+    seen = np.maximum.accumulate(np.concatenate([start[:1], end[:-1]]))
+    return np.bincount(owner, np.maximum(0, end - np.maximum(start, seen)), owners)
+
+
+def _counts(b: dict[str, np.ndarray], models: int, size: float) -> np.ndarray:
+    """(models x 3): the voxels of side a, of side b, and of either; `b` has the boxes, ordered by model.
+
+    All columns of all models are laid end to end on one line, so that voxels are integers and runs are ranges of them.
+    """
+    total = np.zeros((models, 3))
+    wide, deep = (b["hi"] - b["lo"] + 1)[:, 0], (b["hi"] - b["lo"] + 1)[:, 1]
+    at = np.searchsorted(b["model"], np.arange(models + 1))
+    before = np.concatenate([[0], np.cumsum(wide * deep)])[at]  # columns of the earlier models
+    todo, first = [], 0  # (first box, end, first i, end): boxes of some models; a model of many columns is cut by i
+    for m in range(models):
+        columns = int(before[m + 1] - before[m])
+        if before[m + 1] - before[first] > COLUMNS and first < m:
+            todo.append((at[first], at[m], None, None))
+            first = m
+        if columns > COLUMNS:
+            lo, hi = int(b["lo"][at[m] : at[m + 1], 0].min()), int(b["hi"][at[m] : at[m + 1], 0].max()) + 1
+            step = max(1, (hi - lo) * COLUMNS // columns)
+            todo += [(at[m], at[m + 1], k, min(hi, k + step)) for k in range(lo, hi, step)]
+            first = m + 1
+    if first < models:
+        todo.append((at[first], at[models], None, None))
+    for start, stop, i_from, i_to in todo:
+        lo, hi = b["lo"][start:stop, 0], b["hi"][start:stop, 0] + 1
+        if i_from is not None:
+            lo, hi = np.maximum(lo, i_from), np.minimum(hi, i_to)
+        rows = np.maximum(0, hi - lo)
+        n = rows * deep[start:stop]
+        if not n.sum():
+            continue
+        box = np.repeat(np.arange(start, stop), n)
+        nth = np.arange(len(box)) - np.repeat(np.cumsum(n) - n, n)
+        i, j = np.repeat(lo, n) + nth // deep[box], b["lo"][box, 1] + nth % deep[box]
+        box, i, j, low, end = _runs(b, box, i, j, size)
+        if not len(box):
+            continue
+        owner = b["model"][box]
+        base = [x.min() for x in (i, j, low)]
+        across, along = int(j.max() - base[1]) + 1, int(end.max() - base[2]) + 1
+        line = (((owner - owner[0]) * (int(i.max() - base[0]) + 1) + i - base[0]) * across + j - base[1]) * along - base[2]
+        for n, side in enumerate((~b["b"][box], b["b"][box], slice(None))):
+            if len(owner[side]):
+                total[:, n] += _lengths(line[side] + low[side], line[side] + end[side], owner[side], models)
+    return total
+
+
 def scored_fit(pairs: DataFrame, key: list[str], size: float) -> DataFrame:
-    """(key, iou) from (key, side, p): per key, the voxel agreement of the boxes of side a and of side b."""
-    seen = of_boxes(pairs, [*key, "side"], size).groupBy(*key, "i", "j", "k").agg(F.count("*").alias("n"))
-    return seen.groupBy(*key).agg((F.count_if(F.col("n") == 2) / F.count("*")).alias("iou"))
+    """(key, iou) from (key, side, p): per key, the voxel agreement of the boxes of side a and of side b; 0 where there is no voxel.
+
+    The voxels are those of `of_boxes`, counted by runs instead of listed; a task holds the boxes of one key and COLUMNS runs.
+    """
+    fields = ["dx", "dy", "dz", "cx", "cy", "cz", *(f"p_{i}{k}" for i in range(3) for k in range(3))]
+    rows = pairs.select(*key, (F.col("side") == "b").alias("b"), "p", *G.axis_columns("p")).select(*key, F.struct("b", *[F.col(f"p.{f}").cast("double").alias(f) for f in fields[:6]], *fields[6:]).alias("box"))
+    models = rows.groupBy(*key).agg(F.collect_list("box").alias("boxes"))
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in models.select(*key).dtypes), "iou double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(key))
+            flat = lists.flatten()
+            v = np.stack([flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in fields], axis=1)
+            model = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            known = np.isfinite(v).all(axis=1)
+            v, model = v[known], model[known]
+            b = {"model": model, "b": flat.field("b").to_numpy(zero_copy_only=False).astype(bool)[known], "d": v[:, :3], "c": v[:, 3:6], "axes": v[:, 6:].reshape(-1, 3, 3)}
+            half = (np.abs(b["axes"]) * b["d"][:, None, :] / 2).sum(axis=2)
+            b["lo"], b["hi"] = np.floor((b["c"] - half) / size).astype(np.int64), np.ceil((b["c"] + half) / size).astype(np.int64)
+            a, other, either = _counts(b, len(lists), size).T
+            share = np.divide(a + other - either, either, out=np.zeros(len(lists)), where=either > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(share)], names=[*key, "iou"])
+
+    return models.mapInArrow(run, schema)
 
 
 def sparse(dense: DataFrame, key: list[str]) -> DataFrame:

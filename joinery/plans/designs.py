@@ -95,11 +95,11 @@ def tenth_corners(spark: SparkSession, d: str) -> DataFrame:
 
 
 def voxel_fits(spark: SparkSession, d: str) -> DataFrame:
-    """How well one box around a design agrees with its parts, in voxels of 50."""
+    """How well one box around a design agrees with its parts, in voxels of 5."""
     parsed = _parsed(spark, d)
     box = box_fits(spark, d).filter("dx is not null").select("entry_id", F.lit("b").alias("side"), F.struct(*G.FIELDS).alias("p"))
     parts = parsed.select("entry_id", F.lit("a").alias("side"), F.explode("parts").alias("p"))
-    return V.scored_fit(parts.unionByName(box), ["entry_id"], 50.0)
+    return V.scored_fit(parts.unionByName(box), ["entry_id"], 5.0)
 
 
 def design_extents(spark: SparkSession, d: str) -> DataFrame:

@@ -188,6 +188,40 @@ def test_voxels(spark):
     assert d.count() == 12 and V.sparse(d, ["m"]).count() == 2
 
 
+def test_voxels_by_runs(spark, monkeypatch):
+    """Scores by runs are those of the listed voxels, for thin, turned, touching and long boxes, in one piece or in slabs."""
+    r = np.random.default_rng(8)
+    rows = []
+    for m in range(12):
+        b = boxes(6, m, turn=m % 3 > 0)
+        b[:, m % 2] = r.uniform(0.5, 4, 6)  # boards thinner than a voxel
+        b[:, 6:9] = np.round(b[:, 6:9] / 90) * 90 if m % 3 == 1 else b[:, 6:9]
+        b[:, :6] = np.round(b[:, :6] * 2) / 2 if m < 6 else b[:, :6]
+        rows += [(m, "a" if k < 4 else "b", tuple(map(float, x))) for k, x in enumerate(b)]
+    rows += [(12, s, (0.2, 0.2, 0.2, 5.0, 5.0, 5.0, 0.0, 0.0, 0.0)) for s in "ab"]  # between the centres
+    df = spark.createDataFrame(rows, f"m int, side string, p struct<{BOX.replace(' double', ': double')}>")
+    cells = V.of_boxes(df, ["m", "side"], 5.0).groupBy("m", "i", "j", "k").agg(F.count("*").alias("n"))
+    want = dict.fromkeys(range(13), 0.0) | {x["m"]: x["iou"] for x in cells.groupBy("m").agg((F.count_if(F.col("n") == 2) / F.count("*")).alias("iou")).collect()}
+    assert {x["m"]: x["iou"] for x in V.scored_fit(df, ["m"], 5.0).collect()} == want and max(want.values()) > 0
+    monkeypatch.setattr(V, "COLUMNS", 40)
+    assert {x["m"]: x["iou"] for x in V.scored_fit(df, ["m"], 5.0).collect()} == want
+
+
+def test_voxel_fits_sees_thin_boards(spark, tmp_path):
+    """The query's voxels are small enough for boards; compared with cell centres tested one by one."""
+    from joinery.plans import designs as P
+
+    parts = [(24, 300, 400, 112, 150, 200, 0, 0, 0), (300, 24, 300, 262, 112, 150, 0, 0, 0), (300, 300, 12, 262, 250, 394, 0, 0, 30)]
+    text = "\n".join(" ".join(map(str, p)) for p in parts)
+    spark.createDataFrame([(1, "train", [("user", "a shelf"), ("assistant", text)])], "entry_id bigint, split_name string, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/finetuning_data.parquet")
+    fit = P.box_fits(spark, str(tmp_path)).first()
+    at = np.stack(np.meshgrid(*[np.arange(-300, 1000, 5) + 2.5] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    inside = lambda b: (np.abs((at - np.array(b[3:6])) @ S.euler_matrix(*b[6:9])) <= np.array(b[:3]) / 2 + 1e-9).all(axis=1)
+    a, b = np.any([inside(p) for p in parts], axis=0), inside([fit[f] for f in G.FIELDS])
+    got = P.voxel_fits(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0]["iou"] == pytest.approx((a & b).sum() / (a | b).sum(), abs=1e-3) and got[0]["iou"] > 0.05
+
+
 def test_hierarchy_and_scale(spark):
     box = lambda *v: dict(zip(G.FIELDS, map(float, v)))
     schema = f"dir_id string, mesh_id string, p struct<{BOX.replace(' double', ': double')}>"
