@@ -23,6 +23,7 @@ do not matter.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -35,7 +36,7 @@ METRICS = ("assemblability", "prompt_satisfaction", "design_quality")
 LABELS = (1, 2, 3)
 #: Ratings of one item from which it is cut into slices.
 HOT = 50_000
-START, STEPS, CLOSE = 0.6, 20, 1e-3
+START, STEPS, CLOSE = 0.6, 60, 1e-3
 
 
 def usable_ratings(ratings: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ class Consensus:
             own += [f"{_sum([f'{m}{k}' for k in LABELS])} as n_{m}", f"{_sum([f'{m}{k} * {1 - 2 * p[i] + p2!r}D' for i, k in enumerate(LABELS)])} as o_{m}"]
         fixed = cut(per_annotator.selectExpr("who", *own))
         weights = fixed.selectExpr("who", *[f"{START * self.scale[m]!r}D as v_{m}" for m in METRICS])
-        for _ in range(STEPS):
+        for step in range(STEPS):
             weighted = self.rows.join(small(weights, self.n_reviewers), "who")
             sums, points, steps = [], [], []
             for m in METRICS:
@@ -133,11 +134,14 @@ class Consensus:
                 v, t = size[f"v_{m}"] or 0.0, size[f"t_{m}"] or 0.0
                 c = math.sqrt(v / t) if v > 0 and t > 0 else 1.0
                 new_v.append(f"greatest(-1D, least(1D, t_{m} * {c!r}D))")
-            moved = " + ".join(f"n_{m} * abs({x} - v_{m})" for x, m in zip(new_v, METRICS))
-            top = raw.selectExpr(f"sum({moved}) / sum({' + '.join(f'n_{m}' for m in METRICS)})").first()[0]  # the mean over ratings
-            weights = raw.selectExpr("who", *[f"{x} as v_{m}" for x, m in zip(new_v, METRICS)])
-            if top is None or top < CLOSE:
-                break
+            # the largest move of an annotator; the last weights are kept as they are, since a half step would not be tested
+            moves = [f"if(n_{m} > 0, abs({x} - v_{m}), 0D)" for x, m in zip(new_v, METRICS)]
+            self.steps, self.moved = step + 1, raw.selectExpr(f"max(greatest({', '.join(moves)}))").first()[0] or 0.0
+            # every other step goes half way: a community apart from the others has its own scale, which whole steps would turn over for ever
+            weights = raw.selectExpr("who", *[f"{x} as v_{m}" if step % 2 == 0 or self.moved < CLOSE else f"(v_{m} + {x}) / 2 as v_{m}" for x, m in zip(new_v, METRICS)])
+            if self.moved < CLOSE:
+                return weights
+        warnings.warn(f"reliabilities still move by {self.moved:.4f} after {STEPS} steps", stacklevel=3)
         return weights
 
     def items(self) -> DataFrame:

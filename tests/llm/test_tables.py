@@ -68,6 +68,41 @@ def test_hot_items_in_slices_change_nothing(spark, monkeypatch):
     assert c.labels().count() == 120
 
 
+def settled(rows, m):
+    """Reliabilities from the whole agreement matrix, iterated to the end in half steps."""
+    names, items = sorted({r[0] for r in rows}), sorted({r[1:3] for r in rows})
+    given_ = np.zeros((len(names), len(items)), int)
+    for r, model, e, v, _ in rows:
+        given_[names.index(r), items.index((model, e))] = int(v[m])
+    shares = np.array([(given_ == k).sum() for k in (1, 2, 3)]) / (given_ > 0).sum()
+    points = np.where((given_ > 0)[..., None], (given_[..., None] == [1, 2, 3]) - shares, 0).reshape(len(names), -1)
+    product, overlap_ = points @ points.T, ((given_ > 0) * 1) @ ((given_ > 0) * 1).T
+    np.fill_diagonal(product, 0)
+    np.fill_diagonal(overlap_, 0)
+    v, scale = np.full(len(names), 0.6), np.sqrt(1 - (shares**2).sum())
+    for _ in range(1000):
+        v = (v + np.clip(product @ v / (overlap_ @ v**2), -1, 1)) / 2
+    return dict(zip(names, v / scale))
+
+
+def test_reliabilities_settle_for_every_reviewer(spark, monkeypatch):
+    """A small community beside a large one, without common items, is as settled as the large one when the steps end."""
+    rng = random.Random(4)
+    rows = []
+    for side, reviewers, items, each, right in (("x", 12, 400, 300, 0.85), ("y", 16, 24, 20, 0.6)):
+        for i in range(reviewers):
+            for e in rng.sample(range(items), each):
+                rows.append((f"{side}{i}", side, str(e), [str(1 + e % 3 if rng.random() < right else rng.randint(1, 3)) for _ in consensus.METRICS], 1))
+    c = consensus.Consensus(rating(spark, rows))
+    got = {(r["reviewer"], r["metric"]): r["reliability"] for r in c.reliability().collect()}
+    for k, m in enumerate(consensus.METRICS):
+        for who, want in settled(rows, k).items():
+            assert got[who, m] == pytest.approx(want, abs=0.005), who
+    monkeypatch.setattr(consensus, "STEPS", 1)
+    with pytest.warns(UserWarning, match="still move"):
+        consensus.Consensus(rating(spark, rows))
+
+
 def test_consensus_small_cases(spark):
     assert consensus.unreliable(rating(spark, []).filter("false")).count() == 0
     one = consensus.Consensus(rating(spark, [("a", "m", "1", ["2", "2", ""], 1)]))
