@@ -46,17 +46,19 @@ def usable_ratings(ratings: DataFrame) -> DataFrame:
         v = number(F.col(m))
         return F.when(v.isin(*[float(x) for x in LABELS]), v.cast("long"))
 
-    when = F.coalesce(F.unix_micros(F.col("rated_at").cast("timestamp")), F.lit(-(1 << 60)))
-    rows = ratings.select("reviewer", F.lower(strip(F.col("model_type"))).alias("model"), number(F.col("experiment_id")).alias("item"), when.alias("at"), *[label(m).alias(m) for m in METRICS]).filter(
-        "reviewer is not null and model is not null and item is not null"
-    )
+    def micros(c: str) -> Column:
+        return F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(-(1 << 60)))
 
-    def rank(m: str) -> Column:
-        """The latest time with a usable cell and its label, as one number that orders alike."""
-        return F.max(F.when(F.col(m).isNotNull(), F.col("at") * 4 + F.col(m))).alias(m)
+    rows = ratings.select(
+        "reviewer", F.lower(strip(F.col("model_type"))).alias("model"), number(F.col("experiment_id")).alias("item"), micros("rated_at").alias("at"), micros("loaded_at").alias("late"), *[label(m).alias(m) for m in METRICS]
+    ).filter("reviewer is not null and model is not null and item is not null")
 
-    best = rows.groupBy("reviewer", "model", "item").agg(*[rank(m) for m in METRICS])
-    return best.select("reviewer", "model", "item", *[F.pmod(F.col(m), F.lit(4)).cast("int").alias(m) for m in METRICS]).filter(" or ".join(f"{m} is not null" for m in METRICS))
+    def best(m: str) -> Column:
+        """The row with the latest usable cell, of equally late ones the one loaded last, then the higher label."""
+        return F.max(F.when(F.col(m).isNotNull(), F.struct("at", "late", m))).alias(m)
+
+    got = rows.groupBy("reviewer", "model", "item").agg(*[best(m) for m in METRICS])
+    return got.select("reviewer", "model", "item", *[F.col(f"{m}.{m}").cast("int").alias(m) for m in METRICS]).filter(" or ".join(f"{m} is not null" for m in METRICS))
 
 
 def _of_label(m: str, names: list[str]) -> str:

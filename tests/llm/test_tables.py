@@ -45,6 +45,20 @@ def test_usable_ratings(spark):
     assert got == {"a": (2, 2, 3), "c": (3, 2, 3)}
 
 
+def test_equally_late_ratings_by_load_time(spark):
+    """Of rows with one rated_at the one loaded last counts, per metric; a later rated_at comes first, a missing load time last."""
+    day = dt.timedelta(days=1)
+    rows = [
+        ("a", ["3", "2", "3"], T0, T0), ("a", ["1", "3", "x"], T0, T0 + day),
+        ("b", ["1", "1", "1"], T0 + day, T0 + day), ("b", ["3", "3", "3"], T0, T0 + 9 * day),
+        ("c", ["1", "2", "1"], T0, T0), ("c", ["3", "3", "3"], T0, None),
+        ("d", ["1", "1", "1"], None, T0 + day), ("d", ["2", "2", "2"], None, T0),
+    ]
+    df = spark.createDataFrame([(r, "m", "7", *v, at, late, 7, "clash") for r, v, at, late in rows], RATING)
+    got = {r["reviewer"]: tuple(r[m] for m in consensus.METRICS) for r in consensus.usable_ratings(df).collect()}
+    assert got == {"a": (1, 3, 3), "b": (1, 1, 1), "c": (1, 2, 1), "d": (1, 1, 1)}
+
+
 def test_consensus_finds_truth_and_bad(spark):
     truth, good, rows = simulated()
     c = consensus.Consensus(rating(spark, rows))
