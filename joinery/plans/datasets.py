@@ -118,7 +118,8 @@ def judge_replies(spark: SparkSession, d: str) -> DataFrame:
     from joinery.operators.judge import parse_reply
 
     t = table(spark, d, "ratings")
-    body = F.concat(F.lit('{"assemblability": '), F.coalesce(F.nullif("assemblability", F.lit("")), F.lit("null")), F.lit(', "prompt_satisfaction": '), F.coalesce(F.nullif("prompt_satisfaction", F.lit("")), F.lit("null")), F.lit(', "design_quality": 2}'))
+    cells = [F.concat(F.lit(f'"{m}": '), F.coalesce(F.nullif(m, F.lit("")), F.lit("null"))) for m in ("assemblability", "prompt_satisfaction", "design_quality")]
+    body = F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
     reply = F.concat(F.lit("Here you are.\n```json\n"), body, F.lit("\n```"))
     return t.select(parse_reply(reply).alias("r")).groupBy(F.col("r.assemblability").alias("assemblability"), F.col("r.prompt_satisfaction").alias("prompt_satisfaction"), F.col("r.design_quality").alias("design_quality")).agg(F.count("*").alias("n"))
 

@@ -135,6 +135,16 @@ def test_scalars(spark):
     assert [r["x"] for r in j] == ["1", "", ""]
 
 
+def test_judge_replies_read_every_rating(spark, tmp_path):
+    """The third rating comes from its column; a reply without it, or with a wrong one, counts for nothing."""
+    from joinery.plans import datasets as P
+
+    rows = [("1", "2", "3"), ("1", "2", "1.0"), ("1", "2", ""), ("1", "2", None), ("1", "2", "7"), ("", "2", "2")]
+    spark.createDataFrame(rows, "assemblability string, prompt_satisfaction string, design_quality string").write.parquet(f"{tmp_path}/ratings.parquet")
+    got = {tuple(r)[:3]: r["n"] for r in P.judge_replies(spark, str(tmp_path)).collect()}
+    assert got == {(1, 2, 3): 1, (1, 2, 1): 1, (None, None, None): 4}
+
+
 def test_judge_and_upsert(spark):
     replies = ['```json\n{"assemblability": 1, "prompt_satisfaction": 2, "design_quality": 3}\n```', '{"assemblability": 0, "prompt_satisfaction": 2, "design_quality": 3}', '{"assemblability": 1}', "sorry", None, '{"assemblability": 3, "prompt_satisfaction": 3, "design_quality": 3}']
     got = spark.createDataFrame([(r,) for r in replies], "r string").select(J.parse_reply(F.col("r")).alias("p")).collect()
