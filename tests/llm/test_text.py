@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow.dataset as ds
@@ -107,13 +108,74 @@ OTHER = [
 ]
 
 
-def test_prose_and_other():
-    for t in PROSE:
-        assert prose.measure(t)[1]["outside"] < 0.5, t
-    for t in OTHER:
-        assert prose.measure(t)[1]["outside"] > 0.5, t
+CORPUS = "/root/testdata/sf0.01/documents.parquet"
+# Sentences of languages that the test corpus doesn't have.
+FOREIGN = {
+    "it": [
+        "Il tavolo è troppo basso per la cucina e non si può lavorare bene.", "La sedia che abbiamo costruito ieri è più solida di quella vecchia.", "Non c'era più spazio per il martello e la sega nella cassetta.",
+        "Dopo la colla bisogna aspettare fino a sera e poi si può levigare.", "Mio fratello ha detto che il letto era troppo grande per la stanza.", "Se la porta non si chiude bene, è meglio togliere un po' di legno.",
+        "Ho visto che il ripiano della libreria non era in piano e si muoveva.", "Per fare il cassetto ci vogliono due ore e un po' di pazienza.", "La gamba che è stata tagliata male si trova sotto il banco con le altre.",
+        "Quando la vernice è asciutta si può portare la panca nel giardino.", "Il cliente voleva una scatola con quattro piedi e non un armadio.", "Alla fine abbiamo tenuto la versione che era più leggera da portare.",
+    ],
+    "pt": [
+        "A mesa é muito baixa para a cozinha e não dá para trabalhar bem.", "A cadeira que fizemos ontem é mais firme do que a velha.", "Não havia mais espaço para o martelo e a serra na caixa.",
+        "Depois da cola é preciso esperar até à noite e só então lixar.", "O meu irmão disse que a cama era grande demais para o quarto.", "Se a porta não fecha bem, é melhor tirar um pouco de madeira.",
+        "Vi que a prateleira da estante não estava direita e mexia muito.", "Para fazer a gaveta são precisas duas horas e um pouco de calma.", "A perna que foi mal cortada está debaixo do banco com as outras.",
+        "Quando o verniz está seco pode levar-se o banco para o jardim.", "O cliente queria uma caixa com quatro pés e não um armário.", "No fim ficámos com a versão que era mais leve para levar.",
+    ],
+    "nl": [
+        "De tafel is te laag voor de keuken en je kunt er niet goed aan werken.", "De stoel die we gisteren hebben gemaakt is steviger dan de oude.", "Er was geen plaats meer voor de hamer en de zaag in de kist.",
+        "Na het lijmen moet je wachten tot de avond en dan kun je schuren.", "Mijn broer zei dat het bed te groot was voor de kamer.", "Als de deur niet goed sluit, is het beter om wat hout weg te halen.",
+        "Ik zag dat de plank van de kast niet recht was en dat hij bewoog.", "Om de lade te maken heb je twee uur en een beetje geduld nodig.", "De poot die verkeerd is gezaagd ligt onder de bank met de andere.",
+        "Als de lak droog is kan de bank naar de tuin worden gebracht.", "De klant wilde een doos met vier poten en niet een kast.", "Op het einde hebben we de versie gehouden die lichter was om te dragen.",
+    ],
+}
+
+
+def wrapped(text, width):
+    out = [""]
+    for w in text.split():
+        if out[-1] and len(out[-1]) + len(w) >= width:
+            out.append(w)
+        else:
+            out[-1] = f"{out[-1]} {w}".strip()
+    return "\n".join(out)
+
+
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    """What the documents of the test tables teach; they have no Polish, Russian or Japanese."""
+    return quality.learn(spark.read.parquet(CORPUS))
+
+
+def test_prose_and_other(lexicon):
+    foreign = [s for texts in FOREIGN.values() for s in (" ".join(texts[:5]), wrapped(" ".join(texts), 40), " ".join(texts[5:]).lower())]
+    japanese = "このテーブルは台所には低すぎるので、\n座って作業するのが難しいです。明日もう一度、\n脚を長くしてみます。"
+    for t in PROSE + foreign + [japanese]:
+        assert prose.measure(t, lexicon)[1]["outside"] < 0.5, t
+    for t in OTHER + ["buy now " * 40, "A: 1\nB: 2\n" * 30, "€â¿Ã ©â Â¼Â¼ € ¿Ã " * 20]:
+        assert prose.measure(t, lexicon)[1]["outside"] > 0.5, t
     for t in (None, "", " \n\t"):
-        assert prose.measure(t) == ("none", dict.fromkeys(prose.STATS, 0.0))
+        assert prose.measure(t, lexicon) == ("none", dict.fromkeys(prose.STATS, 0.0))
+    assert prose.measure("Das Brett ist noch nicht trocken, und wir warten auf den Nachbarn.", lexicon)[0] == "de"
+
+
+def test_strewn_words_of_languages_learned_from_the_corpus(spark):
+    """Words of Italian, Portuguese and Dutch sentences in random order are found; the sentences are not, whatever their labels."""
+    rng = random.Random(8)
+    natural = {lang: [" ".join(rng.sample(texts, 5)) for _ in range(150)] for lang, texts in FOREIGN.items()}
+    strewn = {lang: [] for lang in FOREIGN}
+    for lang, texts in FOREIGN.items():
+        bag = [w.strip(".,").lower() for s in texts for w in s.split()]
+        strewn[lang] = [" ".join(rng.choices(bag, k=120)) for _ in range(8)]
+    rows = [(t, lang) for lang in FOREIGN for t in natural[lang]] + [(t, lang) for lang in FOREIGN for t in strewn[lang]]
+    rows = [(10_000_000 + i, t, lang if rng.random() < 0.8 else rng.choice(["en", None, "und"])) for i, (t, lang) in enumerate(rows)]
+    docs = spark.read.parquet(CORPUS).select("doc_id", "text", "lang").union(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    got = {r["doc_id"] for r in quality.not_prose(docs).collect() if r["doc_id"] >= 10_000_000}
+    assert got == {10_000_000 + 450 + i for i in range(24)}
+    # copies of a strewn text do not teach its order
+    copies = spark.createDataFrame([(20_000_000 + i, strewn["it"][0], "it") for i in range(600)], "doc_id bigint, text string, lang string")
+    assert quality.not_prose(docs.union(copies)).filter("doc_id >= 20000000").count() == 600
 
 
 def test_exact_ranks(spark):
@@ -130,16 +192,31 @@ def test_exact_ranks(spark):
 
 def test_not_prose(spark):
     texts = PROSE + OTHER + [None, "", "  \n"] + PROSE[:2] * 20
-    docs = spark.createDataFrame([(i, t, "x", 0.0) for i, t in enumerate(texts)] + [(len(PROSE), OTHER[0], "x", 0.0), (None, OTHER[0], "x", 0.0)], DOC + ", language string, score double")
-    got = {r["doc_id"] for r in quality.not_prose(docs).collect()}
-    assert got == set(range(len(PROSE), len(PROSE) + len(OTHER)))
-    assert quality.scored(docs).filter(f"doc_id = {len(PROSE)}").count() == 2
+    mine = [(5000 + i, t, "x", 0.0) for i, t in enumerate(texts)] + [(5000 + len(PROSE), OTHER[0], "x", 0.0), (None, OTHER[0], "x", 0.0)]
+    docs = spark.createDataFrame(mine, DOC + ", language string, score double").unionByName(spark.read.parquet(CORPUS).selectExpr("doc_id", "text", "'y' as language", "1D as score"))
+    got = {r["doc_id"] for r in quality.not_prose(docs).filter("doc_id >= 5000").collect()}
+    assert got == set(range(5000 + len(PROSE), 5000 + len(PROSE) + len(OTHER)))
+    assert quality.scored(docs).filter(f"doc_id = {5000 + len(PROSE)}").count() == 2
     assert quality.not_prose(docs.filter("false")).count() == 0
-    long = spark.createDataFrame([(1, PROSE[0] + "\n" + "x=1;\n" * 100000), (2, PROSE[0] * 3000)], DOC)
-    assert [r["doc_id"] for r in quality.not_prose(long).collect()] == [1]
-
-
-def test_candidates_lose_nothing(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    want = {r["doc_id"] for r in quality.document_stats(docs).filter("outside > 0.5").select("doc_id").collect()}
-    assert {r["doc_id"] for r in quality.not_prose(docs).collect()} == want
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " ")], DOC)
+    assert {tuple(r)[1:2] + (r["score"], r["outlier"]) for r in quality.scored(blank).collect()} == {("none", 0.0, 0.0)}
+    long = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, PROSE[0] + "\n" + "x=1;\n" * 100000), (9002, PROSE[0] * 3000)], DOC))
+    assert [r["doc_id"] for r in quality.not_prose(long).filter("doc_id > 9000").collect()] == [9001]
+
+
+def test_scores_decide(spark):
+    """The score is 1 or more exactly where a tail is no larger than that of the documents beyond a limit; brute force over all documents."""
+    docs = spark.read.parquet(CORPUS)
+    rows = quality.scored(docs).toPandas()
+    for lang, group in rows[rows.language != "none"].groupby("language"):
+        for r in group.itertuples():
+            want = False
+            for stat, limit in quality.LIMITS.items():
+                values = group[stat]
+                want |= bool((values >= getattr(r, stat)).sum() <= (values > limit).sum())
+            assert want == (r.score >= 1), r.doc_id
+            tails = [((group[s] <= getattr(r, s)).mean(), (group[s] >= getattr(r, s)).mean()) for s in prose.STATS]
+            lo, hi = [[-math.log(t[k]) for t in tails] for k in (0, 1)]
+            assert r.outlier == pytest.approx(max(sum(lo), sum(hi), sum(map(max, lo, hi))))
+    all_other = spark.createDataFrame([(i, f"{i} {i} 3 0 0\n" * 5) for i in range(20)], DOC)
+    assert quality.not_prose(all_other).count() == 20
