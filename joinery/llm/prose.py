@@ -50,7 +50,7 @@ WINDOW = 12
 class Line:
     """One line without quote marks, speaker names and tags; `size` counts its characters but white space."""
 
-    __slots__ = ("text", "size", "words", "digits", "symbols", "longest", "fields", "ends", "lower", "cjk")
+    __slots__ = ("text", "size", "words", "digits", "symbols", "longest", "fields", "ends", "lower", "cjk", "typical")
 
     def __init__(self, raw: str) -> None:
         text = raw.lstrip(" >\t\xa0")
@@ -105,11 +105,6 @@ def lines_of(text: str | None) -> list[Line]:
     return [Line(x) for x in _LINE.split(text or "") if x and not x.isspace()]
 
 
-def words(text: str) -> list[str]:
-    """All words of a text, lower case."""
-    return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_UNSEEN))).lower())
-
-
 def pair_lines(text: str | None) -> str:
     """The lines of a text that are long enough to hold pairs of words in order."""
     rows = [x for x in _LINE.split(text or "") if x.count(" ") >= 5]
@@ -117,9 +112,9 @@ def pair_lines(text: str | None) -> str:
     return out if out.isascii() else unicodedata.normalize("NFKC", out.translate(_UNSEEN))
 
 
-def seed_words(text: str | None) -> Iterator[tuple[bool, list[str]]]:
+def seeds(lines: list[Line]) -> Iterator[tuple[bool, list[str]]]:
     """(in a sentence, words) of the lines whose form alone tells."""
-    for line in lines_of(text):
+    for line in lines:
         if line.words:
             if line.broken() or len(line.words) < 5:
                 yield False, line.words
@@ -133,8 +128,8 @@ class Lexicon:
 
     odds: of words, the logarithm of how much more often they stand in sentences. frequent: ids of the words whose pairs are
     counted. codes, counts: sorted pair codes (left id * number of words + right id) and how often each stands in the corpus. left,
-    right: how often each word stands as left and right part of a pair, a row per language group. languages, rates: names of the groups, and
-    per word the logarithm of the share of documents with it in each group; prior: logarithm of the groups' shares.
+    right: how often each word stands as left and right part of a pair, a row per language group. languages, known, rates: names of the groups, row
+    numbers of words, and per row the logarithm of the share of documents with the word in each group; prior: logarithm of the groups' shares.
     """
 
     odds: dict[str, float] = field(default_factory=dict)
@@ -144,8 +139,13 @@ class Lexicon:
     left: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     right: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     languages: list[str] = field(default_factory=list)
-    rates: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    rates: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     prior: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    typical: frozenset[str] = frozenset()
+
+    def __post_init__(self) -> None:
+        self.typical = frozenset(w for w, x in self.odds.items() if x >= SENTENCE_WORD)
 
     def pair_codes(self, text: str) -> list[int]:
         """The codes of the pairs of neighbouring frequent words of a text; figures and marks part them."""
@@ -155,8 +155,8 @@ class Lexicon:
 
     def language(self, words: set[str]) -> str:
         """The group whose documents have such words; `other` where no word is known."""
-        known = [self.rates[w] for w in words if w in self.rates]
-        return self.languages[int(np.argmax(np.sum(known, axis=0) + self.prior))] if known else "other"
+        known = [self.known[w] for w in words if w in self.known]
+        return self.languages[int(np.argmax(self.rates[known].sum(axis=0) + self.prior))] if known else "other"
 
     def order(self, codes: list[int], language: str) -> tuple[np.ndarray, np.ndarray]:
         """Which of a text's pairs say something, and which of these are broken.
@@ -183,11 +183,10 @@ def _prose(line: Line, lex: Lexicon) -> float | None:
         return None
     if line.broken():
         return 0.0
-    odds = [lex.odds.get(w) for w in line.words]
-    known = sum(x is not None for x in odds)
+    known = sum(map(lex.odds.__contains__, line.words))
     if known < 0.4 * n:
         return None
-    share = sum(x is not None and x >= SENTENCE_WORD for x in odds) / (known + (n - known) / 4)
+    share = line.typical / (known + (n - known) / 4)
     if n >= 12:
         return float(share >= 0.4 or (share >= 0.25 and line.sentence()))
     if n >= 5:
@@ -224,9 +223,12 @@ def measure(text: str | None, lex: Lexicon) -> tuple[str, dict[str, float]]:
             block.append(b)
         else:
             b += 1
-    total = sum(x.size for x in lines)
+    total = sum([x.size for x in lines])
     if not total:
         return "none", dict.fromkeys(STATS, 0.0)
+    typical = lex.typical.__contains__
+    for x in lines:
+        x.typical = sum(map(typical, x.words))
     score = [_prose(x, lex) for x in lines]
     # paragraphs of unknown words go by their form
     k = 0
@@ -274,7 +276,7 @@ def measure(text: str | None, lex: Lexicon) -> tuple[str, dict[str, float]]:
         "symbol_ratio": round(sum(x.symbols for x in lines) / total, 4),
         "digit_ratio": round(sum(x.digits for x in lines) / total, 4),
         "punctuated_lines": round(sum(x.ends for x in lines) / len(lines), 4),
-        "common_words": round(sum(lex.odds.get(w, 0.0) >= SENTENCE_WORD for w in words) / n_words, 4) if n_words else 0.0,
+        "common_words": round(sum(x.typical for x in lines) / n_words, 4) if n_words else 0.0,
         "broken_order": round(wrong / tested, 4) if tested else 0.0,
         "outside": math.ceil(10000 * sum(x.size for x, p in zip(lines, kept) if not p) / total) / 10000,
     }

@@ -27,7 +27,7 @@ language `other`; without a column `lang` too; an empty table gives empty result
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -90,9 +90,10 @@ def _count_words(held: Counter, text: str, label: str) -> None:
     """Documents with each word by label, the documents themselves as the word "", and the words of lines whose form tells."""
     inside: Counter = Counter()
     outside: Counter = Counter()
-    for sentence, words in prose.seed_words(text):
+    lines = prose.lines_of(text)
+    for sentence, words in prose.seeds(lines):
         (inside if sentence else outside).update(words)
-    for w in set(prose.words(text)):
+    for w in set().union(*[x.words for x in lines]):
         held[w, label, "d"] += 1
     held["", label, "d"] += 1
     for kind, counts in (("s", inside), ("o", outside)):
@@ -120,12 +121,12 @@ def learn(docs: DataFrame) -> Lexicon:
     total = counted.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("s", "o")]).first()
     known = " or ".join(f"d{i} >= {max(2, n[g] * KNOWN)}" for i, g in enumerate(n))
     rows = by_word.filter(known).collect()  # at most 1 / KNOWN times the mean number of words of a document, per group
-    lex = Lexicon()
-    lex.odds = {r["word"]: prose.log_odds(r["s"], r["o"], total["s"], total["o"]) for r in rows if r["s"] + r["o"]}
+    lex = Lexicon({r["word"]: prose.log_odds(r["s"], r["o"], total["s"], total["o"]) for r in rows if r["s"] + r["o"]})
     lex.languages = names
     size = np.array([n[g] for g in names], float)
     lex.prior = np.log(size / whole)
-    lex.rates = {r["word"]: np.log((np.array([r[f"d{i}"] for i in range(len(names))]) + 0.5) / (size + 1)) for r in rows}
+    lex.known = {r["word"]: k for k, r in enumerate(rows)}
+    lex.rates = np.log((np.array([[r[f"d{i}"] for i in range(len(names))] for r in rows]).reshape(len(rows), len(names)) + 0.5) / (size + 1))
     often = sorted(r["word"] for r in rows if any(r[f"d{i}"] >= max(3, n[g] * FREQUENT) for i, g in enumerate(n)))
     lex.frequent = {w: k for k, w in enumerate(often)}
     if not often:
