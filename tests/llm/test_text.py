@@ -62,14 +62,45 @@ def test_wu_manber(pats, text):
     assert got == want
 
 
-def test_patterns_unique_runs():
-    a = "one two three four five six seven eight nine ten eleven twelve. Short one."
-    b = "zero one two three four five six seven eight nine ten eleven nothing."
-    got = leaks.patterns([(1, a), (2, b)])
-    runs = {(" ".join(p), tuple(i)) for p, i in got.items()}
-    assert ("one two three four five six seven eight nine ten eleven twelve", (1,)) in runs
-    assert all(r != "one two three four five six seven eight nine ten" for r, _ in runs)
-    assert ("three four five six seven eight nine ten eleven twelve", (1,)) in runs
+ITEM = "item_id int, text string, benchmark string"
+
+
+def runs_by_hand(items, least=10):
+    """Shortest runs of one item only, by trying every run against every other item."""
+    streams = [(i, words(t)) for i, t in items]
+    stands = lambda w, run: any(w[k : k + len(run)] == run for k in range(len(w) - len(run) + 1))
+    out = set()
+    for i, text in items:
+        for s in sentences(text):
+            for k in range(len(s) - least + 1):
+                for n in range(least, len(s) - k + 1):
+                    if not any(stands(w, s[k : k + n]) for j, w in streams if j != i):
+                        out.add((i, tuple(s[k : k + n])))
+                        break
+    return out
+
+
+def test_patterns_against_brute_force(spark):
+    rng = random.Random(6)
+    stock = [" ".join(rng.choices("abcdef", k=rng.randint(8, 90))) for _ in range(5)]
+    items = [(i, ". ".join([*rng.sample(stock, 2), " ".join(rng.choices("abcdef", k=rng.randint(5, 25))), stock[0] + f" end{i} tail"]) + ".") for i in range(7)]
+    items += [(8, items[0][1]), (9, "too short"), (10, None), (11, "")]
+    df = spark.createDataFrame([(i, t, "b") for i, t in items + items[:1] + [(None, stock[0])]], ITEM)
+    got = {(r["item_id"], tuple(r["run"])) for r in leaks.patterns(df).collect()}
+    assert got == runs_by_hand([x for x in items if x[1]]) and len(got) > 50
+    assert leaks.patterns(df.filter("false")).count() == 0
+
+
+def test_shards_change_nothing(spark):
+    one = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([(1, f"{one} eleven.", "b"), (2, f"{one} twelve.", "b"), (3, " ".join(f"u{i}" for i in range(14)), "b")], ITEM)
+    docs = spark.createDataFrame([(7, one), (8, f"x {one} eleven"), (9, " ".join(f"u{i}" for i in range(14)) + " " + one + " twelve")], DOC)
+    for shard in (100, 2, 1):
+        assert sorted(map(tuple, leaks.find_leaks(docs, items, shard=shard).collect())) == [(8, 1), (9, 2), (9, 3)], shard
+    docs, items = spark.read.parquet(CORPUS), spark.read.parquet(CORPUS.replace("documents", "eval_items"))
+    whole = leaks.find_leaks(docs, items)
+    parts = leaks.find_leaks(docs, items, shard=-(-leaks.patterns(items).count() // 4))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
 
 
 def test_find_leaks(spark):
