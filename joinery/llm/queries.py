@@ -39,6 +39,16 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.report(*_pool(spark, sf_dir))
 
 
+def p3_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_report(spark, sf_dir).select("request_id", "target_id", "goal", "have", "can_be_met")
+
+
+def p3_outside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each request's sample, and those of them that meet no target."""
+    sample, outside = p3_sample(spark, sf_dir).groupBy("request_id").agg(F.count("*").alias("rows")), p3_report(spark, sf_dir).groupBy("request_id").agg(F.max("outside").alias("outside"))
+    return sample.join(outside, "request_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.related(splits.records(table(spark, sf_dir, "partnet_meta")))
 
@@ -84,20 +94,25 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p3_found, p3_sample, p3_report, p4_found, p4_splits, p4_report, p5_found, p5_report, p5_classes, p6_ids, p7_found, p7_report, p8_found, p8_scores)}
+    return {f.__name__: f for f in (p1_found, p1_consensus, p1_reliability, p3_found, p3_sample, p3_report, p3_goals, p3_outside, p4_found, p4_splits, p4_report, p5_found, p5_report, p5_classes, p6_ids, p7_found, p7_report, p8_found, p8_scores)}
 
 
-def oracle_sql() -> dict[str, str]:
-    whole = "floor({} + 1e-9)"
-    return {
-        "p3_found": f"""with e as (select prompt_id, min(lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) || difficulty_level::varchar) as c from experiments
-    where lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) in ('indistribution', 'outofdistribution') and difficulty_level between 1 and 3 group by prompt_id),
-m as (select nullif(lower(regexp_replace(model_cat, '[^\\p{{L}}]', '', 'g')), '') as c from partnet_meta),
+_POOL = r"""e as (select prompt_id, min(lower(regexp_replace(distribution, '[^\p{L}]', '', 'g')) || difficulty_level::varchar) as c from experiments
+    where lower(regexp_replace(distribution, '[^\p{L}]', '', 'g')) in ('indistribution', 'outofdistribution') and difficulty_level between 1 and 3 group by prompt_id),
+m as (select nullif(lower(regexp_replace(model_cat, '[^\p{L}]', '', 'g')), '') as c from partnet_meta),
 pool as (select 'experiments' as pool, c from e union all select 'partnet_meta', c from m where c is not null),
 n as (select pool, count(*) as n from pool group by pool), have as (select pool, c, count(*) as have from pool group by pool, c),
-t as (select *, coalesce(lower(regexp_replace(model_cat, '[^\\p{{L}}]', '', 'g')), lower(regexp_replace(distribution, '[^\\p{{L}}]', '', 'g')) || difficulty_level::varchar) as c from sample_targets)
-select target_id from t left join n using (pool) left join have using (pool, c)
-where coalesce(have, 0) < greatest(min_rows, {whole.format("target_share * " + whole.format("sample_frac * n"))})""",
+t as (select *, coalesce(lower(regexp_replace(model_cat, '[^\p{L}]', '', 'g')), lower(regexp_replace(distribution, '[^\p{L}]', '', 'g')) || difficulty_level::varchar) as c from sample_targets),
+g as (select request_id, target_id, coalesce(have, 0) as have, greatest(min_rows, floor(target_share * floor(sample_frac * n + 1e-9) + 1e-9)::bigint) as goal, floor(sample_frac * n + 1e-9)::bigint as size
+    from t left join n using (pool) left join have using (pool, c))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"with {_POOL} select target_id from g where have < goal",
+        "p3_goals": f"with {_POOL} select request_id, target_id, goal, have, have >= goal as can_be_met from g",
+        # every request of the tables has shares that add to 1, so rows outside are drawn only where all requested rows are taken
+        "p3_outside": f"with {_POOL} select request_id, max(size)::bigint as rows, greatest(0, max(size) - sum(have))::bigint as outside from g group by request_id",
         "p4_found": """with recursive k as (select distinct dir_id, 'm' || nullif(lower(regexp_replace(model_id, '[^0-9A-Fa-f]', '', 'g')), '') as key from partnet_meta
     union select dir_id, 'u' || lower(regexp_replace(upload_id, '[^0-9A-Za-z]', '', 'g')) from partnet_meta where regexp_full_match(lower(regexp_replace(upload_id, '[^0-9A-Za-z]', '', 'g')), 'up[0-9]*[1-9][0-9]*')),
 reach(a, b) as (select dir_id, dir_id from partnet_meta union select r.a, y.dir_id from reach r join k x on x.dir_id = r.b join k y on y.key = x.key)

@@ -140,6 +140,9 @@ def test_sampling(spark):
     assert [got[i]["goal"] for i in range(1, 9)] == [20, 15, 10, 5, 2, 0, 5, 5]
     assert {r["target_id"] for r in sampling.unmet(pool, targets).collect()} == {3, 4, 5, 7, 8}
     assert got[3]["drawn"] == 8 and got[4]["drawn"] == 2 and got[1]["met"] and got[2]["met"]
+    # what Bed and Lamp lack goes to Chair and Table by their shares, nothing outside the targets
+    assert (got[1]["drawn"], got[2]["drawn"]) == (23, 17) and [got[i]["outside"] for i in range(1, 9)] == [0] * 4 + [1, 1, 10, 10]
+    assert "CoGroup" in sampling.unmet(pool, targets)._jdf.queryExecution().optimizedPlan().toString()  # the repaired sample takes part
     s = sampling.sample(pool, targets)
     assert {r["request_id"]: r["count"] for r in s.groupBy("request_id").count().collect()} == {1: 50, 2: 2, 3: 10}
     assert s.distinct().count() == 62
@@ -160,8 +163,22 @@ def test_swap_repair_is_best_for_apart_categories(size, n, seed):
         return
     take = sampling.repair(size, np.eye(len(size), dtype=int), goal, floor, n, rng)
     assert take.sum() == n and (take >= np.minimum(floor, size)).all() and (take <= size).all()
-    want = np.minimum(goal, size)
-    assert np.abs(take - want).sum() == n - want.sum()  # nothing but what no target asks for
+    want = sampling.wanted(size, goal, goal / max(1, n), n)
+    assert want.sum() == n and (want >= np.minimum(goal, size)).all() and (take == want).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=2, max_size=5), st.integers(1, 40), st.integers(0, 60), st.integers(0, 9))
+def test_no_row_outside_the_targets_while_others_are_left(size, outside, n, seed):
+    size = np.array([*size, outside])
+    rng = np.random.default_rng(seed)
+    share = rng.dirichlet(np.ones(len(size) - 1))
+    n = int(min(n, size.sum()))
+    meets = np.eye(len(size), dtype=int)[:, :-1]
+    take = sampling.repair(size, meets, np.floor(share * n).astype(int), np.zeros(len(size) - 1, int), n, rng, share)
+    assert take.sum() == n and take[-1] == max(0, n - size[:-1].sum())
+    half = sampling.repair(size, meets, np.floor(share / 2 * n).astype(int), np.zeros(len(size) - 1, int), n, rng, share / 2)
+    assert half.sum() == n and half[-1] >= min(size[-1], n // 2)
 
 
 CAT = "dir_id bigint, model_id string, upload_id string, model_cat string, root bigint, id string"
