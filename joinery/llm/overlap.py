@@ -10,8 +10,9 @@ Terms are ordered from rare to frequent. A vector's inverted-list entries are on
 takes until the rest can't bring more than a set part of what it needs; the rest is bounded by the weights times the
 largest weight of the term on the other side, and by the norm of the rest times the largest norm on the other side.
 Both sides are cut by the same order, so a pair that reaches its need shares entries worth at least the other part.
-Vectors that can't reach their need at all drop out. Pairs of classes with enough in common get their dot product
-and cosine from the whole vectors, and the exact matching of pieces decides.
+Vectors that can't reach their need at all drop out, and pairs whose numbers of pieces are too unlike are never made. Pairs of classes
+with enough in common get their dot product from the whole vectors, and the exact matching of pieces decides. The cosine
+of a pair is that of its two plain vectors, pieces per cell on both sides: 1 for equal designs.
 
 Classes are joined, not their copies: a group of copies is one vector however large it is. Only the result of
 `found` lists entries pair by pair, as its form asks.
@@ -83,11 +84,11 @@ def _entries(vec: DataFrame, needs: DataFrame, other_most: str, other_norm: floa
     bound = F.least(F.sum(F.col("weight") * F.col(other_most)).over(after), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(after)) * other_norm)
     whole = F.sum(F.col("weight") * F.col(other_most)).over(Window.partitionBy("class"))
     rest = vec.withColumn("bound", bound).withColumn("whole", whole).filter("whole >= need")
-    return rest.filter(F.col("bound") >= F.col("need") * outside).select("class", "term", "weight", "need")
+    return rest.filter(F.col("bound") >= F.col("need") * outside).select("class", "term", "weight", "need", "n")
 
 
-def candidates(left: DataFrame, right: DataFrame, needs: DataFrame, outside: float = OUTSIDE) -> DataFrame:
-    """(left, right, dot, cosine): pairs of vectors whose dot product reaches what both need."""
+def candidates(left: DataFrame, right: DataFrame, needs: DataFrame, share: float, outside: float = OUTSIDE) -> DataFrame:
+    """(left, right, dot): pairs of vectors whose dot product reaches what both need; needs: (class, n, need)."""
     left, right = cut(left), cut(right)
     side = lambda v, s: v.groupBy("term").agg(F.max("weight").alias(f"most_{s}"), F.count("*").alias(f"df_{s}"))
     terms = side(left, "l").join(side(right, "r"), "term").selectExpr("term", "most_l", "most_r", "df_l + df_r as df")
@@ -95,42 +96,84 @@ def candidates(left: DataFrame, right: DataFrame, needs: DataFrame, outside: flo
     norms = [v.groupBy("class").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")) for v in (left, right)]
     top = [x.agg(F.max("norm")).first()[0] or 0.0 for x in norms]
     live_l, live_r = left.join(terms, "term"), right.join(terms, "term")
-    el = _entries(live_l, needs, "most_r", top[1], outside).select("term", F.col("class").alias("left"), F.col("weight").alias("wl"), F.col("need").alias("need_l"))
-    er = _entries(live_r, needs, "most_l", top[0], outside).select("term", F.col("class").alias("right"), F.col("weight").alias("wr"), F.col("need").alias("need_r"))
-    met = el.join(er, "term").groupBy("left", "right").agg(F.sum(F.col("wl") * F.col("wr")).alias("part"), F.first(F.greatest("need_l", "need_r")).alias("need"))
+    el = _entries(live_l, needs, "most_r", top[1], outside).select("term", F.col("class").alias("left"), F.col("weight").alias("wl"), F.col("need").alias("need_l"), F.col("n").alias("nl"))
+    er = _entries(live_r, needs, "most_l", top[0], outside).select("term", F.col("class").alias("right"), F.col("weight").alias("wr"), F.col("need").alias("need_r"), F.col("n").alias("nr"))
+    alike = f"least(nl, nr) >= {share!r}D * greatest(nl, nr) - 1e-9"  # the pieces of the shorter design must do for the longer one
+    met = el.join(er, "term").filter(alike).groupBy("left", "right").agg(F.sum(F.col("wl") * F.col("wr")).alias("part"), F.first(F.greatest("need_l", "need_r")).alias("need"))
     # what is outside the entries of the vector whose entries end first is below `outside` of its need
     met = met.filter(F.col("part") >= F.col("need") * (1 - outside) - 1e-9).select("left", "right", "need")
     met = cut(met)
     full_l = left.select(F.col("class").alias("left"), "term", F.col("weight").alias("wl"))
     full_r = right.select(F.col("class").alias("right"), "term", F.col("weight").alias("wr"))
     dots = met.join(full_l, "left").join(full_r, ["right", "term"]).groupBy("left", "right").agg(F.sum(F.col("wl") * F.col("wr")).alias("dot"), F.first("need").alias("need"))
-    nl, nr = norms[0].select(F.col("class").alias("left"), F.col("norm").alias("nl")), norms[1].select(F.col("class").alias("right"), F.col("norm").alias("nr"))
-    return dots.filter("dot >= need - 1e-9").join(nl, "left").join(nr, "right").selectExpr("left", "right", "dot", "dot / (nl * nr) as cosine")
+    return dots.filter("dot >= need - 1e-9").select("left", "right", "dot")
 
 
-def matched(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
-    """The most pieces of a and b that match one to one."""
-    fits = (np.abs(a[:, None, :] - b[None, :, :]) <= tolerance).all(axis=2)
-    owner = [-1] * len(b)
+#: Pairs of pieces that are compared at once.
+PAIRS = 200_000
+
 
-    def place(i: int, seen: set[int]) -> bool:
-        for j in np.flatnonzero(fits[i]):
-            if j not in seen:
-                seen.add(j)
-                if owner[j] < 0 or place(owner[j], seen):
-                    owner[j] = i
-                    return True
-        return False
+def partners(a: np.ndarray, b: np.ndarray, tolerance: float) -> list[np.ndarray]:
+    """Per piece of a the pieces of b that match it; b is searched in the order of its most varied number, some pieces of a at a time."""
+    axis = int(np.argmax(np.ptp(b, axis=0))) if len(b) else 0
+    order = np.argsort(b[:, axis], kind="stable")
+    low, high = np.searchsorted(b[order, axis], a[:, axis] - tolerance, "left"), np.searchsorted(b[order, axis], a[:, axis] + tolerance, "right")
+    out: list[np.ndarray] = []
+    upto = np.concatenate([[0], np.cumsum(high - low)])
+    first = 0
+    while first < len(a):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + PAIRS, "right")) - 1)
+        n = (high - low)[first:last]
+        at = np.repeat(np.arange(first, last), n)
+        other = order[np.repeat(low[first:last] - (upto[first:last] - upto[first]), n) + np.arange(len(at))]
+        fits = (np.abs(a[at] - b[other]) <= tolerance).all(axis=1)
+        out += np.split(other[fits], np.searchsorted(at[fits], np.arange(first + 1, last)))
+        first = last
+    return out
 
-    if (fits.sum(axis=1) <= 1).all() and (fits.sum(axis=0) <= 1).all():
-        return int(fits.sum())
-    return sum(place(i, set()) for i in range(len(a)))
+
+def matched(a: np.ndarray, b: np.ndarray, tolerance: float) -> int:
+    """The most pieces of a and b that match one to one, by augmenting paths."""
+    fits = partners(a, b, tolerance)
+    owner = np.full(len(b), -1)
+    done = 0
+    for start in range(len(a)):
+        came: dict[int, int] = {}  # piece of b: the piece of a it was reached from
+        todo, end = [start], -1
+        while todo and end < 0:
+            i = todo.pop()
+            for j in fits[i]:
+                j = int(j)
+                if j not in came:
+                    came[j] = i
+                    if owner[j] < 0:
+                        end = j
+                        break
+                    todo.append(int(owner[j]))
+        if end >= 0:
+            done += 1
+            took = {v: k for k, v in enumerate(owner) if v >= 0} if owner[end] >= 0 or came[end] != start else {}
+            while True:
+                i = came[end]
+                before = took.get(i, -1)
+                owner[end] = i
+                if i == start:
+                    break
+                end = before
+    return done
+
+
+def cosine(a: np.ndarray, b: np.ndarray, width: float = WIDTH) -> float:
+    """The cosine of the pieces per cell of two designs."""
+    cells, back = np.unique(np.floor(np.concatenate([a, b]) / width + 0.5), axis=0, return_inverse=True)
+    x, y = (np.bincount(part, minlength=len(cells)).astype(float) for part in (back[: len(a)], back[len(a) :]))
+    return float(x @ y / (np.linalg.norm(x) * np.linalg.norm(y)))
 
 
 def class_pairs(classes: DataFrame, share: float = 0.8, tolerance: float = 2.0) -> DataFrame:
     """(left, right, cosine, matched): classes of the training and of the evaluation side that are the same or nearly so."""
-    needs = classes.select("class", F.ceil(F.col("n") * share - 1e-9).cast("double").alias("need"))
-    pairs = candidates(vectors(classes.filter("trained = 1"), 0.0), vectors(classes.filter("evaluated = 1"), tolerance), needs)
+    needs = classes.select("class", "n", F.ceil(F.col("n") * share - 1e-9).cast("double").alias("need"))
+    pairs = candidates(vectors(classes.filter("trained = 1"), 0.0), vectors(classes.filter("evaluated = 1"), tolerance), needs, share)
     text = classes.select("class", "n", "pieces")
     both = pairs.join(text.select(F.col("class").alias("left"), F.col("pieces").alias("a")), "left").join(text.select(F.col("class").alias("right"), F.col("pieces").alias("b")), "right")
 
@@ -138,10 +181,12 @@ def class_pairs(classes: DataFrame, share: float = 0.8, tolerance: float = 2.0)
         for pdf in batches:
             m = [matched(np.stack(a), np.stack(b), tolerance) for a, b in zip(pdf["a"], pdf["b"])]
             need = [share * max(len(a), len(b)) - 1e-9 for a, b in zip(pdf["a"], pdf["b"])]
-            out = pdf[["left", "right", "cosine"]].assign(matched=m)
-            yield out[[x >= y for x, y in zip(m, need)]]
+            kept = [x >= y for x, y in zip(m, need)]
+            out = pdf[["left", "right"]].assign(cosine=0.0, matched=m)[kept]
+            out["cosine"] = [cosine(np.stack(a), np.stack(b)) for a, b, k in zip(pdf["a"], pdf["b"], kept) if k]
+            yield out
 
-    return both.select("left", "right", "cosine", "a", "b").mapInPandas(check, "left bigint, right bigint, cosine double, matched int")
+    return both.select("left", "right", "a", "b").mapInPandas(check, "left bigint, right bigint, cosine double, matched int")
 
 
 def found(entries: DataFrame, share: float = 0.8, tolerance: float = 2.0) -> DataFrame:

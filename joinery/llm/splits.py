@@ -72,8 +72,31 @@ def related(rows: DataFrame) -> DataFrame:
 def closest_subset(sizes: list[int], counts: list[int], target: int) -> list[int]:
     """How many of each size to take so that the total is as close to the target as can be; of two totals the smaller.
 
-    A bitset has a bit for each total up to twice the target; for each total, the step that reached it first is kept.
+    Filling up from the largest size on gives a first choice. Some best choice differs from it by no more components than a few times
+    the largest size (the proximity of integer to fractional choices), so all others stay as they are. A bitset has a bit for
+    each total of the rest, up to twice what is left of the target; for each total, the step that reached it first is kept. So memory
+    depends on the sizes of components and not on how many there are.
     """
+    usable = [s for s in sizes if s <= 2 * target]
+    reach = 3 * max(usable, default=0) + 3
+    room, kept = target, [0] * len(sizes)
+    for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
+        if sizes[k] > 2 * target:
+            continue
+        n = min(counts[k], room // sizes[k])
+        kept[k], room = n, room - n * sizes[k]
+        if n < counts[k]:
+            break
+    fixed = [max(0, n - reach) for n in kept]
+    free = [min(c, n + reach) - f for c, n, f in zip(counts, kept, fixed)]
+    if any(fixed) or free != list(counts):
+        more = closest_subset_of_few(sizes, free, target - sum(s * f for s, f in zip(sizes, fixed)))
+        return [f + m for f, m in zip(fixed, more)]
+    return closest_subset_of_few(sizes, counts, target)
+
+
+def closest_subset_of_few(sizes: list[int], counts: list[int], target: int) -> list[int]:
+    """The same by one bitset over all totals up to twice the target."""
     top = min(2 * target, sum(s * c for s, c in zip(sizes, counts)))
     mask, bits = (1 << (top + 1)) - 1, 1
     pieces: list[tuple[int, int]] = []  # (index of the size, how many of it)
