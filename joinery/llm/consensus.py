@@ -10,7 +10,8 @@ back, and a sum per annotator of numerators and overlap-weighted denominators.
 
 Votes are then weighted by the log-odds of the reliabilities; the label of an item is the most likely one.
 
-Items and annotators are iterated over by 64-bit hashes of their names. The ratings are kept partitioned by item; an item with more than HOT ratings is cut into slices by annotator, whose
+Items and annotators are iterated over by 64-bit hashes of their names; names are counted per hash, and should two share one, all are
+hashed anew with the next seed, so no two are ever taken for one. The ratings are kept partitioned by item; an item with more than HOT ratings is cut into slices by annotator, whose
 sums are added up before the join back. Memory per task does not depend on the size of an item.
 
 Defined results: cells that don't read as a label, null models, unreadable items and null annotators are left out; of
@@ -22,6 +23,7 @@ do not matter.
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 
@@ -70,14 +72,24 @@ def _sum(terms: list[str]) -> str:
     return "(" + " + ".join(terms) + ")"
 
 
+def _hashed(seed: int, *names: str) -> Column:
+    return F.xxhash64(F.lit(seed), *names)
+
+
 class Consensus:
     """Reliabilities and labels of one table of ratings."""
 
     def __init__(self, ratings: DataFrame) -> None:
         parts = int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         # whole rows by name, and the rows that are iterated over, by hashes of the names
-        rows = cut(usable_ratings(ratings).withColumn("who", F.xxhash64("reviewer")).withColumn("cell", F.xxhash64("model", "item")))
-        hot = cut(rows.groupBy("cell").count().filter(f"count > {HOT}").select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("slices")))  # at most one row per HOT ratings
+        usable = cut(usable_ratings(ratings))
+        for seed in itertools.count(42):
+            rows = usable.withColumn("who", _hashed(seed, "reviewer")).withColumn("cell", _hashed(seed, "model", "item"))
+            name = F.struct("model", "item")
+            sizes = cut(rows.groupBy("cell").agg(F.count("*").alias("count"), (F.min(name) != F.max(name)).alias("shared")).filter(f"shared or count > {HOT}"))  # at most one row per HOT ratings, but for shared hashes
+            if sizes.filter("shared").isEmpty() and rows.groupBy("who").agg(F.min("reviewer").alias("a"), F.max("reviewer").alias("b")).filter("a <> b").isEmpty():
+                break
+        hot = sizes.select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("slices"))
         self.hot, self.n_hot = hot, hot.count()
         rows = rows.join(small(hot, self.n_hot), "cell", "left") if self.n_hot else rows.withColumn("slices", F.lit(None).cast("int"))
         rows = rows.withColumn("slice", F.coalesce(F.pmod("who", F.col("slices")), F.lit(0)).cast("int")).drop("slices")
@@ -178,10 +190,10 @@ class Consensus:
         return once.join(names, "cell").select("model_type", "experiment_id", F.explode(F.array(*each)).alias("x")).select("model_type", "experiment_id", "x.*").filter("ratings > 0")
 
     def reliability(self) -> DataFrame:
-        """(reviewer, metric, ratings, right_share, consensus_share, reliability).
+        """(reviewer, metric, ratings, right_share, consensus_share, reliability, steps, last_move).
 
         right_share is the expected share of ratings equal to what the item deserves, consensus_share that of ratings equal to
-        the consensus label.
+        the consensus label. steps and last_move say how the iteration ended: after how many steps, and the largest move of an annotator in the last.
         """
         both = self.rows.join(self.items().hint("shuffle_hash"), ["cell", "slice"])
         aggs = [x for m in METRICS for x in (f"count({m}) as n_{m}", f"avg({_of_label(m, [f'p{k}_{m}' for k in LABELS])}) as r_{m}", f"avg(cast({m} = label_{m} as int)) as h_{m}")]
@@ -191,9 +203,28 @@ class Consensus:
             F.struct(F.lit(m).alias("metric"), F.col(f"n_{m}").alias("ratings"), F.col(f"r_{m}").alias("right_share"), F.col(f"h_{m}").alias("consensus_share"), (F.col(f"v_{m}") / self.scale[m]).alias("reliability"))
             for m in METRICS
         ]
-        return got.select("reviewer", F.explode(F.array(*each)).alias("x")).select("reviewer", "x.*").filter("ratings > 0")
+        long = got.select("reviewer", F.explode(F.array(*each)).alias("x")).select("reviewer", "x.*").filter("ratings > 0")
+        return long.withColumns({"steps": F.lit(self.steps), "last_move": F.lit(float(self.moved))})
+
+    def finished(self, result: DataFrame) -> DataFrame:
+        """A result of this table in the shared folder, and the ratings taken out of memory."""
+        out = cut(result)
+        self.rows.unpersist()
+        return out
+
+
+def consensus(ratings: DataFrame) -> DataFrame:
+    """The labels of `Consensus`, finished."""
+    c = Consensus(ratings)
+    return c.finished(c.labels())
+
+
+def reliabilities(ratings: DataFrame) -> DataFrame:
+    """The reliabilities of `Consensus`, finished."""
+    c = Consensus(ratings)
+    return c.finished(c.reliability())
 
 
 def unreliable(ratings: DataFrame, least: int = 12, share: float = 0.55) -> DataFrame:
     """(reviewer, metric): annotators with at least `least` usable ratings, of which fewer than `share` are right."""
-    return Consensus(ratings).reliability().filter((F.col("ratings") >= least) & (F.col("right_share") < share)).select("reviewer", "metric")
+    return reliabilities(ratings).filter((F.col("ratings") >= least) & (F.col("right_share") < share)).select("reviewer", "metric")

@@ -118,6 +118,21 @@ def test_reliabilities_settle_for_every_reviewer(spark, monkeypatch):
         consensus.Consensus(rating(spark, rows))
 
 
+def test_names_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """The first seeds give few different hashes; the result is that of full hashes."""
+    from pyspark.sql import functions as F
+
+    _, _, rows = simulated(n_items=40)
+    want = sorted((r["reviewer"], r["metric"], r["ratings"], round(r["right_share"], 6)) for r in consensus.reliabilities(rating(spark, rows)).collect())
+    whole = consensus._hashed
+    monkeypatch.setattr(consensus, "_hashed", lambda seed, *names: whole(seed, *names) % F.lit(50) if seed < 44 else whole(seed, *names))
+    held = spark._jsc.sc().getPersistentRDDs().size()
+    got = consensus.reliabilities(rating(spark, rows))
+    assert spark._jsc.sc().getPersistentRDDs().size() == held
+    assert sorted((r["reviewer"], r["metric"], r["ratings"], round(r["right_share"], 6)) for r in got.collect()) == want
+    assert 1 <= got.first()["steps"] <= consensus.STEPS and 0 <= got.first()["last_move"] < consensus.CLOSE
+
+
 def test_consensus_small_cases(spark):
     assert consensus.unreliable(rating(spark, []).filter("false")).count() == 0
     one = consensus.Consensus(rating(spark, [("a", "m", "1", ["2", "2", ""], 1)]))
