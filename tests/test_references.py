@@ -20,7 +20,11 @@ def targets(spark, rows):
     return spark.createDataFrame([(r, k, day(a), day(b)) for r, k, a, b in rows], "record bigint, key string, start timestamp_ntz, end timestamp_ntz")
 
 
-def test_against_pairs(spark):
+@pytest.mark.parametrize("few, keys", [(32, 200_000), (2, 200_000), (0, 0)])
+def test_against_pairs(spark, monkeypatch, few, keys):
+    """Keys that change seldom and often, looked up by broadcast and by a join."""
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "BROADCAST_KEYS", keys)
     rng = random.Random(4)
     t = [(i, rng.choice("abc"), rng.choice([None, *range(0, 200, 7)]), rng.choice([None, *range(0, 200, 7)])) for i in range(60)]
     t += t[:5]
@@ -30,6 +34,19 @@ def test_against_pairs(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_many_times_in_a_day(spark, monkeypatch):
+    monkeypatch.setattr(R, "FEW", 2)
+    rng = random.Random(9)
+    hour = lambda n: None if n is None else D0 + dt.timedelta(hours=n)
+    t = [(i, "k", rng.randint(0, 60), rng.choice([None] + [rng.randint(0, 200)] * 9)) for i in range(9)] + [(20 + i, "m", 30 * i, 30 * i + rng.randint(1, 29)) for i in range(8)]
+    t = [x for x in t if x[3] is not None]
+    r = [(i, rng.choice("km"), rng.randint(0, 320)) for i in range(500)]
+    tf = spark.createDataFrame([(i, k, hour(a), hour(b)) for i, k, a, b in t], "record bigint, key string, start timestamp_ntz, end timestamp_ntz")
+    rf = spark.createDataFrame([(i, k, hour(a)) for i, k, a in r], "row_id bigint, key string, at timestamp_ntz")
+    want = {i for i, k, at in r if not any(k == q and a <= at < b for _, q, a, b in t)}
+    assert {x["row_id"] for x in R.without_target(rf, tf).collect()} == want and 0 < len(want) < 500
+
+
 def test_boundaries_and_empty(spark):
     t = targets(spark, [(1, "k", 5, 10)])
     got = {x["row_id"] for x in R.without_target(refs(spark, [(1, "k", 4), (2, "k", 5), (3, "k", 9), (4, "k", 10)]), t).collect()}
