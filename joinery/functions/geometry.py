@@ -131,6 +131,23 @@ def corners(box: str) -> Column:
     return F.array(*out)
 
 
+def corner_array(parts: Column) -> Column:
+    """array<struct<x,y,z>>: the eight corners of each box of an array, box by box, in the row; the order of corners is that of `corners`."""
+    trig = F.transform(parts, lambda p: F.struct(p.alias("p"), *[f(F.radians(p[a])).alias(f"{n}{a}") for a in ("rx", "ry", "rz") for n, f in (("s", F.sin), ("k", F.cos))]))
+
+    def axes(t: Column) -> Column:
+        """The box's centre, and its three axes with its sizes."""
+        (sx, kx), (sy, ky), (sz, kz) = ((t[f"s{a}"], t[f"k{a}"]) for a in ("rx", "ry", "rz"))
+        m = ((kz * ky, kz * sy * sx - sz * kx, kz * sy * kx + sz * sx), (sz * ky, sz * sy * sx + kz * kx, sz * sy * kx - kz * sx), (-sy, ky * sx, ky * kx))
+        p = t["p"]
+        return F.struct(*[p[c].alias(c) for c in ("cx", "cy", "cz")], *[(m[i][k] * p[d]).alias(f"a{i}{k}") for i in range(3) for k, d in enumerate(("dx", "dy", "dz"))])
+
+    def eight(b: Column) -> Column:
+        return F.array(*[F.struct(*[(b[c] + b[f"a{i}0"] * u + b[f"a{i}1"] * v + b[f"a{i}2"] * w).alias(n) for i, (c, n) in enumerate(zip(("cx", "cy", "cz"), "xyz"))]) for u, v, w in product((-0.5, 0.5), repeat=3)])
+
+    return F.flatten(F.transform(F.transform(trig, axes), eight))
+
+
 def best_order(sizes: Vector, target: Column) -> Column:
     """struct<misfit, order>: the order of the three sizes closest to the first two or three target sizes; of ties the first."""
     choices = []

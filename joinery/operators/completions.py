@@ -16,21 +16,21 @@ def completion_rewards(rows: DataFrame, key: str = "entry_id") -> DataFrame:
 
     In this order: a prefix that is not empty and can't be read gives 0; where the target is the end, ending gives 1 and not
     ending 0; a last line that is no part gives 0; without a prefix a part gives 0.5; else the geometry of the part decides.
-    Null texts count as empty. The rows that need geometry are worked out apart from the others.
+    Null texts count as empty.
     """
     text = lambda c: strip(F.coalesce(c, F.lit("")))
     line = F.element_at(F.split(text(F.col("completion")), "\n"), -1)
     t = rows.select(key, text(F.col("prefix")).alias("p"), line.alias("line"), F.coalesce(F.col("completion").contains(END), F.lit(False)).alias("ended"), (F.coalesce("target", F.lit("")) == END).alias("last"))
     result = lambda value, reason: F.struct(value.cast("double").alias("reward"), F.lit(reason).alias("reason"))
+    # The names of the reasons
     early = (
         F.when((F.col("p") != "") & ~D.readable(F.col("p")), result(F.lit(0), "error_parsing_prompt"))
         .when(F.col("last"), result(F.col("ended").cast("int"), "termination"))
         .when(~D.readable(F.col("line")), result(F.lit(0), "invalid_syntax"))
         .when(F.col("p") == "", result(F.lit(0.5), "first_part"))
     )
-    t = t.withColumn("early", early)
-    parsed = D.parse(t.filter("early is null").select(key, F.concat_ws("\n", "p", "line").alias("design")), keep=(key,))
-    return t.filter("early is not null").select(key, "early.*").unionByName(S.rewards(parsed, key).select(key, "reward", "reason"))
+    t = t.select(key, early.alias("early"), D.parts_of(F.when(early.isNull(), F.concat_ws("\n", "p", "line"))).alias("parts"))
+    return S.rewards(t, key).select(key, "reward", "reason")
 
 
 def summary(rewarded: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinery.functions import chat
 from joinery.functions.keys import strip
 from joinery.operators.references import listed_captions
+from joinery.operators.tables import at_most
 
 # The categories that are kept.
 KEEP = ("Bed", "Chair", "Table", "StorageFurniture")
@@ -45,3 +48,15 @@ def prefixes(examples: DataFrame, keep: list[str], mode: str = "one", seed: int
     rows = rows.withColumn("prefix", chat.prefix(F.col("_lines"), F.col("cut"))).withColumn("next_line", chat.next_line(F.col("_lines"), F.col("cut")))
     with_prefix = F.concat("_others", F.when(F.col("prefix") != "", F.array(chat.message("assistant", F.col("prefix")))).otherwise(F.slice("_others", 1, 0)))
     return rows.select(*keep, "cut", with_prefix.alias("prompt"), "prefix", "next_line")
+
+
+def expand_splits(splits: dict[str, DataFrame | None], keep: list[str], mode: str = "one", seed: int = 42, names: tuple[str, ...] = ("train", "test")) -> dict[str, DataFrame]:
+    """The prefixes of each named split, MOST_EXAMPLES rows of it at most; a split that is missing is warned of and left out."""
+    out = {}
+    for name in names:
+        rows = splits.get(name)
+        if rows is None:
+            warnings.warn(f"no split {name}", stacklevel=2)
+            continue
+        out[name] = at_most(prefixes(rows, keep, mode, seed), MOST_EXAMPLES)
+    return out

@@ -15,6 +15,7 @@ from joinery.functions.keys import strip
 from joinery.functions.scalars import round_even
 
 _LINE = r"^\p{Nd}+(?: \p{Nd}+){8}$"
+_BOXES = "array<struct<" + ", ".join(f"{f}: double" for f in G.FIELDS) + ">>"
 #: Numbers per line of a design type.
 TOKENS = {"cuboid": 9, "library": 7, "footprint": 8}
 
@@ -29,13 +30,32 @@ def readable(text: Column, kind: str = "cuboid") -> Column:
     return F.forall(flat_lines(text), lambda x: x.rlike(pattern))
 
 
+def parts_of(text: Column) -> Column:
+    """The parts of a design text in text order, an array of box structs; null for unreadable and null texts."""
+    part = lambda x: F.when(x.rlike(_LINE), F.struct(*[F.get(F.split(x, " "), F.lit(i)).try_cast("double").alias(f) for i, f in enumerate(G.FIELDS)]))
+    # in an array of one, so that the lines are read once
+    return F.get(F.filter(F.array(F.transform(flat_lines(text), part)), lambda parts: F.forall(parts, lambda p: p["dx"].isNotNull())), F.lit(0))
+
+
 def parse(designs: DataFrame, text: str = "design", keep: tuple[str, ...] = ("entry_id",)) -> DataFrame:
-    """(keep, parts): readable designs with their parts in text order, an array of box structs; others are left out."""
+    """(keep, parts): readable designs with their parts in text order; others are left out."""
     part = lambda x: F.struct(*[F.get(F.split(x, " "), F.lit(i)).try_cast("double").alias(f) for i, f in enumerate(G.FIELDS)])
     rows = designs.filter(F.col(text).isNotNull()).withColumn("_lines", flat_lines(F.col(text))).filter(F.forall("_lines", lambda x: x.rlike(_LINE)))
     return rows.select(*keep, F.transform("_lines", part).alias("parts")).filter(F.forall("parts", lambda p: p["dx"].isNotNull()))
 
 
+def append_part(parts: Column, part: Column) -> Column:
+    """A design with one part more; a null design is an empty one."""
+    return F.array_append(F.coalesce(parts, F.array().cast(_BOXES)), part)
+
+
+def box_extents(points: Column) -> dict[str, Column]:
+    """Of an array of points in one row: wx, wy, wz, the size of their bounding box, and mx, my, mz, their mean."""
+    axis = {a: points[a] for a in "xyz"}
+    total = lambda a: F.aggregate(axis[a], F.lit(0.0), lambda n, x: n + x)
+    return {f"w{a}": F.array_max(axis[a]) - F.array_min(axis[a]) for a in "xyz"} | {f"m{a}": total(a) / F.size(points) for a in "xyz"}
+
+
 def part_rows(parsed: DataFrame, keep: tuple[str, ...] = ("entry_id",)) -> DataFrame:
     """(keep, part_idx, the nine fields): one row per part."""
     return parsed.select(*keep, F.posexplode("parts").alias("part_idx", "p")).select(*keep, "part_idx", "p.*")
@@ -57,6 +77,11 @@ def library_text(part: Column, *numbers: Column) -> Column:
     return F.concat_ws(" ", part.cast("string"), *[round_even(n).cast("bigint").cast("string") for n in numbers])
 
 
+def footprint_text(part: Column, length: Column, *numbers: Column) -> Column:
+    """A line of a footprint: id, length as it is, centre and rotation as whole numbers."""
+    return F.concat_ws(" ", part.cast("string"), length.cast("string"), *[round_even(n).cast("bigint").cast("string") for n in numbers])
+
+
 def library_parts(parsed_lines: DataFrame, line: str, kind: str = "library") -> DataFrame:
     """Adds `p`, the box struct of a library (id, centre, rotation) or footprint (id, length, centre, rotation) line; null for unreadable lines and unknown ids."""
     tokens = F.split(F.col(line), " ")

@@ -81,13 +81,27 @@ def pivot_means(rows: DataFrame, key: str, by: str, values: list, value: Column)
     return out
 
 
-def ordered(stats: DataFrame, models: tuple[tuple[str, str], ...] = MODELS, fill: dict | None = None) -> DataFrame:
-    """The known models in display order, with their display names; models without a row get nulls or the fill values."""
-    dim = stats.sparkSession.createDataFrame([(m, d, i) for i, (m, d) in enumerate(models)], "model_type string, display string, ord int")
-    out = F.broadcast(dim).join(stats, "model_type", "left")  # a handful of fixed rows
+def ordered(stats: DataFrame, models: tuple[tuple[str, str], ...] = MODELS, fill: dict | None = None, by: tuple[str, list] | None = None) -> DataFrame:
+    """The known models in display order, with their display names; models without a row get nulls or the fill values. With `by`, a column and its values, once per value."""
+    rows, keys = [(m, d, i) for i, (m, d) in enumerate(models)], ["model_type"]
+    schema = "model_type string, display string, ord int"
+    if by:
+        name, values = by
+        rows, keys = [(*r, v) for v in values for r in rows], ["model_type", name]
+        schema += f", {name} {dict(stats.dtypes)[name]}"
+    dim = stats.sparkSession.createDataFrame(rows, schema)
+    out = F.broadcast(dim).join(stats, keys, "left")  # a handful of fixed rows
     return out.na.fill(fill) if fill else out
 
 
+def pivot_reviewers(rows: DataFrame, models: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """(metric, reviewer, a column per model): mean ratings by reviewer and model, one table per metric; no rows unless there are several reviewers."""
+    known = rows.na.drop(subset=["reviewer", "model_type"])
+    long = known.select("reviewer", "model_type", F.explode(F.create_map(*[x for m in metrics for x in (F.lit(m), F.col(m))])).alias("metric", "value"))
+    out = long.groupBy("metric", "reviewer").agg(*[round_even(F.avg(F.when(F.col("model_type") == v, F.col("value"))), 3).alias(f"model_type_{v}") for v in models])
+    return out.filter(known.agg(F.count_distinct("reviewer")).scalar() > 1)
+
+
 def box_stats(rows: DataFrame, key: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """(key, metric, n, q1, median, q3, low, high, outliers): quartiles, whiskers at the last value within 1.5 quartile ranges, and how many lie outside.
 

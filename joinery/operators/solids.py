@@ -204,7 +204,7 @@ def with_volume(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_clipped", clipped).withColumn("volume", F.when(F.col("gap") > 0, 0.0).when(hard, F.col("_clipped")).otherwise(G.aligned_overlap("a", "b"))).drop("_clipped")
 
 
-# Smallest size of a part, height limit of the reward, the floor slab, and the scales of the penalties.
+# Reasons (below, and in completions); smallest size of a part, height limit of the reward, the floor slab, and the scales of the penalties.
 LEAST_SIZE, HEIGHT = 5.0, 1000.0
 FLOOR = dict(zip(G.FIELDS, (400.0, 1000.0, 1.0, 200.0, 200.0, -0.5, 0.0, 0.0, 0.0)))
 GAP_SCALE, VOLUME_SCALE = 0.2, 0.001
@@ -216,40 +216,45 @@ def rewards(parsed: DataFrame, key: str = "entry_id") -> DataFrame:
     In this order: no part before it gives 0.5; a size below the least gives 0; a part below the floor gives
     1 - tanh of the worst violation, one otherwise outside the work volume 0 (sizes are not turned for this); any
     overlap gives 1 - tanh(0.001 * sum of the common volumes), with the parts hit; else 1 - tanh(0.2 * the gap) to the
-    floor or the nearest part, of equal ones the floor.
+    floor or the nearest part, of equal ones the floor. A column `early` (reward, reason) that is not null comes before all of
+    these. Rows without parts and without it are left out; the key tells designs apart.
     """
-    new = parsed.select(key, F.element_at("parts", -1).alias("a"), F.expr("slice(parts, 1, size(parts) - 1)").alias("rest"))
+    given = F.col("early") if "early" in parsed.columns else F.lit(None).cast("struct<reward: double, reason: string>")
+    rest = F.when(F.size("parts") > 0, F.expr("slice(parts, 1, size(parts) - 1)"))
+    new = parsed.select(key, given.alias("given"), F.try_element_at("parts", F.lit(-1)).alias("a"), rest.alias("rest")).filter("given is not null or a is not null")
     low = [F.col(f"a.{c}") - F.col(f"a.{d}") / 2 for d, c in (("dx", "cx"), ("dy", "cy"), ("dz", "cz"))]
     high = [F.col(f"a.{c}") + F.col(f"a.{d}") / 2 for d, c in (("dx", "cx"), ("dy", "cy"), ("dz", "cz"))]
     limit = (G.BOUNDS[0], G.BOUNDS[1], HEIGHT)
     worst = F.greatest(*[-x for x in low], *[x - m for x, m in zip(high, limit)])
     early = (
-        F.when(F.size("rest") == 0, F.struct(F.lit(0.5).alias("reward"), F.lit("first_part").alias("reason")))
+        F.when(F.col("given").isNotNull(), F.col("given"))
+        .when(F.size("rest") == 0, F.struct(F.lit(0.5).alias("reward"), F.lit("first_part").alias("reason")))
         .when(F.least("a.dx", "a.dy", "a.dz") < LEAST_SIZE, F.struct(F.lit(0.0).alias("reward"), F.lit("too_small").alias("reason")))
         .when(low[2] < 0, F.struct((1 - F.tanh(worst)).alias("reward"), F.lit("below_floor").alias("reason")))
         .when(worst > 0, F.struct(F.lit(0.0).alias("reward"), F.lit("out_of_bounds").alias("reason")))
     )
     new = new.withColumn("early", early)
-    done = new.filter("early is not null").select(key, "early.reward", "early.reason", F.array().cast("array<int>").alias("hits"))
+    # one pass over the others of a design, the floor first; a design that is decided already has no others
     floor = F.struct(*[F.lit(v).alias(k) for k, v in FLOOR.items()])
-    others = new.filter("early is null").select(key, "a", F.posexplode(F.concat(F.array(floor), "rest")).alias("i", "b"))
-    names = others.columns
-    gapped = others.select("*", *G.axis_columns("a"), *G.axis_columns("b")).select(*names, G.sat_gap("a", "b").alias("gap"))
-    floor_rows = gapped.filter("i = 0").withColumn("volume", F.lit(0.0))
-    part_rows = with_volume(gapped.filter("i > 0"))
-    got = (
-        floor_rows.unionByName(part_rows)
-        .groupBy(key)
-        .agg(
-            F.sum("volume").alias("volume"),
-            F.array_sort(F.collect_list(F.when(F.col("volume") > 0, F.col("i") - 1))).alias("hits"),
-            F.min(F.struct("gap", "i")).alias("near"),
-        )
+    others = F.when(F.col("early").isNull(), F.concat(F.array(floor), "rest"))
+    rows = new.select(key, "early", "a", F.posexplode_outer(others).alias("i", "b"))
+    names = rows.columns
+    gapped = rows.select("*", *G.axis_columns("a"), *G.axis_columns("b")).select(*names, G.sat_gap("a", "b").alias("real_gap"))
+    # only the volumes of pairs that meet count, and never the floor's
+    met = with_volume(gapped.withColumn("gap", F.when(F.col("i") > 0, F.col("real_gap")).otherwise(1.0)))
+    got = met.groupBy(key).agg(
+        F.first("early", True).alias("early"),
+        F.sum(F.when(F.col("i") > 0, F.col("volume"))).alias("volume"),
+        F.array_sort(F.collect_list(F.when((F.col("i") > 0) & (F.col("volume") > 0), F.col("i") - 1))).alias("hits"),
+        F.min(F.when(F.col("i").isNotNull(), F.struct(F.col("real_gap").alias("gap"), "i"))).alias("near"),
     )
-    late = F.when(F.col("volume") > 0, F.struct((1 - F.tanh(F.col("volume") * VOLUME_SCALE)).alias("reward"), F.lit("overlap").alias("reason"), F.col("hits"))).otherwise(
-        F.struct((1 - F.tanh(F.col("near.gap") * GAP_SCALE)).alias("reward"), F.when(F.col("near.i") == 0, "floor_gap").otherwise("part_gap").alias("reason"), F.when(F.col("near.i") > 0, F.array(F.col("near.i") - 1)).otherwise(F.array().cast("array<int>")).alias("hits"))
+    none = F.array().cast("array<int>")
+    late = (
+        F.when(F.col("early").isNotNull(), F.struct(F.col("early.reward").alias("reward"), F.col("early.reason").alias("reason"), none.alias("hits")))
+        .when(F.col("volume") > 0, F.struct((1 - F.tanh(F.col("volume") * VOLUME_SCALE)).alias("reward"), F.lit("overlap").alias("reason"), F.col("hits")))
+        .otherwise(F.struct((1 - F.tanh(F.col("near.gap") * GAP_SCALE)).alias("reward"), F.when(F.col("near.i") == 0, "floor_gap").otherwise("part_gap").alias("reason"), F.when(F.col("near.i") > 0, F.array(F.col("near.i") - 1)).otherwise(none).alias("hits")))
     )
-    return done.unionByName(got.select(key, late.alias("x")).select(key, "x.*"))
+    return got.select(key, late.alias("x")).select(key, "x.*")
 
 
 def reward_summary(rewarded: DataFrame) -> DataFrame:

@@ -170,13 +170,16 @@ def sparse(dense: DataFrame, key: list[str]) -> DataFrame:
 
 
 def dense(points: DataFrame, key: list[str], dims: tuple[int, int, int]) -> DataFrame:
-    """(key, i, j, k, filled) for every cell of the dimensions; points outside are dropped."""
+    """(key, i, j, k, filled) for every cell of the dimensions; points outside are dropped, a model without a point inside has no cells.
+
+    The grid of each model is joined with its points, so the work is the number of cells.
+    """
     x, y, z = dims
     inside = points.filter(F.col("i").between(0, x - 1) & F.col("j").between(0, y - 1) & F.col("k").between(0, z - 1)).select(*key, "i", "j", "k").distinct()
-    cells = inside.groupBy(*key).agg(F.collect_set(F.col("i") * (y * z) + F.col("j") * z + F.col("k")).alias("_at"))  # at most the cells of one model
-    grid = cells.select(*key, "_at", F.explode(F.sequence(F.lit(0), F.lit(x * y * z - 1))).alias("_c"))
+    at = inside.select(*key, (F.col("i") * (y * z) + F.col("j") * z + F.col("k")).cast("int").alias("_c"), F.lit(True).alias("_in"))
+    grid = inside.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(x * y * z - 1))).alias("_c"))
     i, j, k = unravel(F.col("_c"), (x, y, z))
-    return grid.select(*key, i.alias("i"), j.alias("j"), k.alias("k"), F.array_contains("_at", F.col("_c")).alias("filled"))
+    return grid.join(at, [*key, "_c"], "left").select(*key, i.alias("i"), j.alias("j"), k.alias("k"), F.col("_in").isNotNull().alias("filled"))
 
 
 def unravel(c: Column, dims: tuple[int, int, int]) -> tuple[Column, Column, Column]:

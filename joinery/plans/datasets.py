@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 from joinery.functions import chat
 from joinery.functions import scalars as X
+from joinery.functions.designs import last_content
+from joinery.functions.keys import hex_id
 from joinery.operators import dataset as D
+from joinery.operators import ratings as R
 from joinery.operators import tables as T
 from joinery.operators import voxels as V
 from joinery.session import table
 
+WOODS = tuple((w, w.title()) for w in ("oak", "ash", "beech", "birch", "none such"))
+
 
 def captions_first(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "stabletext2brick").filter("object_id is not null").select("object_id", "row_id", "category", "added_at")
+    t = table(spark, d, "stabletext2brick").filter("object_id is not null").select("object_id", "row_id", "captions", "category", "added_at")
     return T.first_by(t, ["object_id"], ["added_at", "row_id"])
 
 
 def captions_last(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "stabletext2brick").filter("object_id is not null").select("object_id", "row_id", "category", "added_at")
+    t = table(spark, d, "stabletext2brick").filter("object_id is not null").select("object_id", "row_id", "captions", "category", "added_at")
     return T.first_by(t, ["object_id"], ["added_at", "row_id"], last=True)
 
 
@@ -46,7 +51,7 @@ def uncaptioned_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kept_models(spark: SparkSession, d: str) -> DataFrame:
-    return D.keep_models(table(spark, d, "partnet_meta"), most_parts=12).select("dir_id", "model_cat", "part_count")
+    return D.keep_models(table(spark, d, "partnet_meta")).select("dir_id", "model_cat", "part_count")
 
 
 def parts_by_category(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +63,39 @@ def caption_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
-    c = D.caption_rows(table(spark, d, "stabletext2brick")).withColumn("design", F.col("object_id"))
-    return D.conversations(c).select("row_id", "place", "messages")
+    """Each caption with the design of its model: that of the model's first entry that has one; captions of other models are left out."""
+    said = table(spark, d, "finetuning_data").select("entry_id", hex_id(F.col("model_id")).alias("id"), last_content(F.col("messages")).alias("design"))
+    first = T.first_by(said.filter("id is not null and design is not null"), ["id"], ["entry_id"]).select("id", "design")
+    c = D.caption_rows(table(spark, d, "stabletext2brick")).withColumn("id", hex_id(F.col("object_id")))
+    return D.conversations(c.join(first, "id")).select("row_id", "place", "messages")
+
+
+def training_sets(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the captions' conversations go to each split, a tenth to the test split."""
+    rows = T.train_test(conversations(spark, d).select("row_id", "place"), ["row_id", "place"])
+    return rows.groupBy("split").agg(F.count("*").alias("n"))
+
+
+def generation_times_ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Generation times of the log lines, in a fixed order of woods; woods without a line get nulls."""
+    t = generation_times(spark, d).withColumnRenamed("wood", "model_type")
+    return R.ordered(t, WOODS).withColumnRenamed("model_type", "wood")
+
+
+def updated_ratings(spark: SparkSession, d: str) -> DataFrame:
+    """The designs' ratings of autojudge, replaced by those of rows saved in 2025."""
+    from joinery.operators.judge import upsert
+
+    on = ["model_type", "experiment_id"]
+    rows = table(spark, d, "ratings").filter("reviewer = 'autojudge' and model_type is not null and experiment_id is not null").select(*on, "loaded_at", *R.METRICS)
+    late = F.coalesce(F.year("loaded_at") >= 2025, F.lit(False))
+    return upsert(R.latest(rows.filter(~late), on, ["loaded_at"]), R.latest(rows.filter(late), on, ["loaded_at"]), on)
+
+
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A field of the events' JSON properties, and one that is missing, with defaults."""
+    t = table(spark, d, "events")
+    return t.groupBy(X.json_or(F.col("props"), "$.k", "none").alias("k"), X.json_or(F.col("props"), "$.absent", "none").alias("absent")).agg(F.count("*").alias("n"))
 
 
 def split_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +182,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            captions_first, captions_last, captioned_models, models_with_captions, caption_counts, uncaptioned_categories, kept_models, parts_by_category, caption_rows, conversations, split_sizes,
+            captions_first, captions_last, captioned_models, models_with_captions, caption_counts, uncaptioned_categories, kept_models, parts_by_category, caption_rows, conversations, training_sets, generation_times_ordered, updated_ratings, json_fields, split_sizes,
             chat_concat, prefix_counts, prefix_one, source_counts, union_of_prompts, voxel_iou, voxel_places, event_runs, generation_times, judge_replies, text_scalars, number_scalars,
         )
     }
@@ -160,8 +196,16 @@ _CAPTIONS = f"""(select object_id, row_id, place, regexp_replace(regexp_replace(
 _SAID = "(select entry_id, coalesce(array_to_string([m.content for m in messages if m.role = 'assistant'], ''), '') as said, len([m.content for m in messages if m.role <> 'assistant'])::int as others from finetuning_data where messages is not null)"
 
 
+_TIMES = """with l as (select unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line from documents), r as (select json_extract_string(line, '$.wood') as wood, json_extract(line, '$.generation_time')::double as g from l where starts_with(line, '{"generation_time"') and json_valid(line))
+select wood, round_even(avg(g), 3) as mean, round_even(stddev_samp(g), 3) as std, min(g) as low, max(g) as high, count(*) as n from r where g is not null group by wood"""
+_ROLE = r"lower(regexp_replace(m.role, '^[\s\x{00A0}\x{2003}\x{3000}]+|[\s\x{00A0}\x{2003}\x{3000}]+$', '', 'g'))"
+_FIRST = f"""with said as (select entry_id, nullif(lower(regexp_replace(model_id, '[^0-9A-Fa-f]', '', 'g')), '') as id, [m.content for m in messages if {_ROLE} = 'assistant'][-1] as design from finetuning_data),
+first as (select id, arg_min(design, entry_id) as design from said where id is not null and design is not null group by id),
+pairs as (select row_id, place, caption, design from {_CAPTIONS} c join first f on f.id = nullif(lower(regexp_replace(c.object_id, '[^0-9A-Fa-f]', '', 'g')), '') where caption <> '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    first = "select object_id, row_id, category, added_at from stabletext2brick where object_id is not null qualify row_number() over (partition by object_id order by added_at {x}, row_id {x}) = 1"
+    first = "select object_id, row_id, captions, category, added_at from stabletext2brick where object_id is not null qualify row_number() over (partition by object_id order by added_at {x}, row_id {x}) = 1"
     return {
         "captions_first": first.format(x=""),
         "captions_last": first.format(x="desc"),
@@ -169,10 +213,17 @@ def oracle_sql() -> dict[str, str]:
         "models_with_captions": "select dir_id, model_id, row_id, n_captions from partnet_meta left join (select object_id as model_id, row_id, len(captions)::int as n_captions from stabletext2brick qualify row_number() over (partition by object_id order by row_id) = 1) using (model_id)",
         "caption_counts": "select count(*) filter (captions is null) as missing, count(captions) as present from stabletext2brick",
         "uncaptioned_categories": "select model_cat, count(*) as n from partnet_meta p where not exists (select 1 from stabletext2brick s where s.object_id = p.model_id and captions is not null) group by model_cat",
-        "kept_models": "select dir_id, model_cat, part_count from partnet_meta where model_cat in ('Bed', 'Chair', 'Table', 'StorageFurniture') and part_count <= 12",
+        "kept_models": "select dir_id, model_cat, part_count from partnet_meta where model_cat in ('Bed', 'Chair', 'Table', 'StorageFurniture') and part_count <= 100",
         "parts_by_category": "select model_cat, count(*) as models, sum(part_count)::bigint as parts, count(distinct upload_id) as uploads from partnet_meta group by model_cat",
         "caption_rows": f"select object_id, row_id, place, caption from {_CAPTIONS} where caption <> ''",
-        "conversations": f"select row_id, place, [{{'role': 'system', 'content': '{chat.SYSTEM}'}}, {{'role': 'user', 'content': '{chat.INSTRUCTION}' || caption}}, {{'role': 'assistant', 'content': object_id}}] as messages from {_CAPTIONS} where caption <> ''",
+        "conversations": f"{_FIRST} select row_id, place, [{{'role': 'system', 'content': '{chat.SYSTEM}'}}, {{'role': 'user', 'content': '{chat.INSTRUCTION}' || caption}}, {{'role': 'assistant', 'content': design}}] as messages from pairs",
+        "training_sets": f"{_FIRST} select 'test' as split, ceil(count(*) * 0.1)::bigint as n from pairs union all select 'train', (count(*) - ceil(count(*) * 0.1))::bigint from pairs",
+        "updated_ratings": f"""with r as (select *, coalesce(year(loaded_at) >= 2025, false) as late from ratings where reviewer = 'autojudge' and model_type is not null and experiment_id is not null)
+select model_type, experiment_id, loaded_at, {", ".join(R.METRICS)} from r qualify row_number() over (partition by model_type, experiment_id order by late desc, loaded_at desc nulls last, {", ".join(f"{m} desc nulls last" for m in R.METRICS)}) = 1""",
+        "json_fields": "select coalesce(json_extract_string(props, '$.k'), 'none') as k, 'none' as absent, count(*) as n from events group by 1",
+        "judge_replies": """with c as (select trim(assemblability, ' ') as a, trim(prompt_satisfaction, ' ') as p, trim(design_quality, ' ') as q from ratings),
+r as (select case when regexp_full_match(a, '[123]([.]0+)?') and regexp_full_match(p, '[123]([.]0+)?') and regexp_full_match(q, '[123]([.]0+)?') then [a::double::int, p::double::int, q::double::int] end as x from c)
+select x[1] as assemblability, x[2] as prompt_satisfaction, x[3] as design_quality, count(*) as n from r group by all""",
         "split_sizes": "select 'test' as split, ceil(count(*) * 0.1)::bigint as n from finetuning_data union all select 'train', (count(*) - ceil(count(*) * 0.1))::bigint from finetuning_data",
         "chat_concat": f"select * from {_SAID}",
         "prefix_counts": f"""with l as (select entry_id, case when said = '' then []::varchar[] else string_split(regexp_replace(replace(said, chr(13) || chr(10), chr(10)), '\\n$', ''), chr(10)) end as lines from {_SAID}),
@@ -188,8 +239,8 @@ select count(*) filter (n = 2) as common, count(*) as either, count(*) filter (n
 r as (select user_id, event_type as value, min(i) as s, count(*) as n from s group by user_id, event_type, g),
 c as (select user_id, value, s + 3 * k as start, least(3, n - 3 * k)::int as length from (select *, unnest(range(0, (n - 1) // 3 + 1)) as k from r))
 select user_id, (row_number() over (partition by user_id order by start) - 1)::int as run, value, start::int as start, length, (sum(length) over (partition by user_id order by start))::bigint as upto from c""",
-        "generation_times": """with l as (select unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) as line from documents), r as (select json_extract_string(line, '$.wood') as wood, json_extract(line, '$.generation_time')::double as g from l where starts_with(line, '{"generation_time"') and json_valid(line))
-select wood, round_even(avg(g), 3) as mean, round_even(stddev_samp(g), 3) as std, min(g) as low, max(g) as high, count(*) as n from r where g is not null group by wood""",
+        "generation_times": _TIMES,
+        "generation_times_ordered": f"with t as ({_TIMES}), w(wood, display, ord) as (values {', '.join(str((a, b, i)) for i, (a, b) in enumerate(WOODS))}) select * from w left join t using (wood)",
         "text_scalars": """select distinct file_name, replace(file_name, '.csv', '') as stem, 'csv' as suffix, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(replace(replace(file_name, '.csv', ''), '_', ' '), ' ')], ' ') as title, 'image/jpeg' as mime, base64(file_name::blob) as coded,
     regexp_matches(file_name[5], '[0-9]') as digit, 'Rate ' || file_name || ' now' as asked, lpad(length(file_name)::varchar, 3, '0') as padded, printf('%.2f', round(length(file_name) / 8.0::double + 1e-9, 2)) as fixed from ratings""",
         "number_scalars": """select l_returnflag, l_linestatus, sum(trunc(l_extendedprice * (l_discount - 0.05::double))::bigint)::bigint as truncated, sum(round_even(l_extendedprice * (l_discount - 0.05::double), 0)::bigint)::bigint as rounded,

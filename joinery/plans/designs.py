@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinery.functions import geometry as G
@@ -55,6 +55,50 @@ def canonical_rotations(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*[F.col(c).cast("bigint").alias(c) for c in ("rx", "ry", "rz")], x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), z.cast("bigint").alias("z"))
 
 
+def _once(c: Column) -> Column:
+    """The column worked out once per row, not in every expression that uses it."""
+    return F.explode(F.array(c))
+
+
+def canonical_same(spark: SparkSession, d: str) -> DataFrame:
+    """Whether canonical angles lie in [0, 180) and turn a box into the same solid: its three axes, as lines, stay where they were."""
+    rows = D.part_rows(_parsed(spark, d)).select("rx", "ry", "rz").distinct()
+    zero = [F.lit(0.0).alias(f) for f in G.FIELDS[:6]]
+    turned = [F.col("rx") - 180, -F.col("ry"), F.col("rz") - 270]
+    rows = rows.select("rx", "ry", "rz", F.struct(*zero, *[x.alias(f) for x, f in zip(turned, G.FIELDS[6:])]).alias("a"), _once(F.struct(*zero, *[x.alias(f) for x, f in zip(G.canonical(*turned), G.FIELDS[6:])])).alias("b"))
+    m = rows.select("rx", "ry", "rz", "b", *G.axis_columns("a"), *G.axis_columns("b"))
+    along = [F.abs(G.dot(*[tuple(F.col(f"{s}_{i}{k}") for i in range(3)) for s in "ab"])) for k in range(3)]
+    inside = F.least(*[F.col(f"b.{f}") for f in G.FIELDS[6:]]) >= 0
+    return m.select(*[F.col(c).cast("bigint").alias(c) for c in ("rx", "ry", "rz")], (F.least(*along) > 1 - 1e-9).alias("same"), (inside & (F.greatest(*[F.col(f"b.{f}") for f in G.FIELDS[6:]]) < 180)).alias("inside"))
+
+
+def euler_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the angles taken back from a part's rotation matrix make the same matrix, by rotation."""
+    p = D.part_rows(_parsed(spark, d)).select("rx", "ry", "rz").distinct()
+    zero = [F.lit(0.0).alias(f) for f in G.FIELDS[:6]]
+    a = p.select("rx", "ry", "rz", F.struct(*zero, *[F.col(f) for f in G.FIELDS[6:]]).alias("a")).select("rx", "ry", "rz", *G.axis_columns("a"))
+    back = G.euler(tuple(tuple(F.col(f"a_{i}{j}") for j in range(3)) for i in range(3)))
+    b = a.select("*", _once(F.struct(*zero, *[x.alias(f) for x, f in zip(back, G.FIELDS[6:])])).alias("b"))
+    m = b.select("*", *G.axis_columns("b"))
+    off = F.greatest(*[F.abs(F.col(f"a_{i}{j}") - F.col(f"b_{i}{j}")) for i in range(3) for j in range(3)])
+    return m.select(*[F.col(c).cast("bigint").alias(c) for c in ("rx", "ry", "rz")], (off < 1e-6).alias("same"))
+
+
+def _upright(spark: SparkSession, d: str) -> DataFrame:
+    return _parsed(spark, d).filter(F.forall("parts", lambda p: (p["rx"] == 0) & (p["ry"] == 0) & (p["rz"] == 0)))
+
+
+def upright_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Rewards of the last parts of designs without any rotation."""
+    return S.rewards(_upright(spark, d)).select("entry_id", round_even(F.col("reward"), 6).alias("reward"), "reason", "hits")
+
+
+def upright_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of neighbouring parts of designs without any rotation."""
+    pairs = S.with_volume(D.with_gap(D.neighbours(_upright(spark, d))))
+    return pairs.select("entry_id", "i", round_even(G.pair_score(F.col("gap"), F.col("volume")), 6).alias("score"))
+
+
 def neighbour_gaps(spark: SparkSession, d: str) -> DataFrame:
     return D.with_gap(D.neighbours(_parsed(spark, d))).select("entry_id", "i", round_even(F.col("gap"), 6).alias("gap"))
 
@@ -103,8 +147,8 @@ def voxel_fits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def design_extents(spark: SparkSession, d: str) -> DataFrame:
-    e = D.extents(D.corner_points(_parsed(spark, d)), "entry_id")
-    return e.select("entry_id", *[round_even(F.col(c), 6).alias(c) for c in ("wx", "wy", "wz", "mx", "my", "mz")])
+    points = _parsed(spark, d).select("entry_id", G.corner_array(F.col("parts")).alias("points"))
+    return points.select("entry_id", *[round_even(c, 6).alias(n) for n, c in D.box_extents(F.col("points")).items()])
 
 
 def normalised_extents(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +168,24 @@ def footprint_fit(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(best.alias("b")).groupBy(F.col("b.id").alias("part_id")).agg(F.count("*").alias("n"), round_even(F.avg("b.misfit"), 3).alias("misfit"))
 
 
+def _coded(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Each part as a line of the closest catalogue part, read back; counts and sums of sizes and centres by part id."""
+    rows = D.part_rows(_parsed(spark, d))
+    best = G.best_in_catalogue((F.col("dx"), F.col("dy"), F.col("dz")), G.LIBRARY if kind == "library" else G.FOOTPRINTS)
+    at = [F.col(c) for c in G.FIELDS[3:]]
+    line = D.library_text(F.col("id"), *at) if kind == "library" else D.footprint_text(F.col("id"), F.col("dz").cast("bigint"), *at)
+    back = D.library_parts(rows.select("*", best["id"].alias("id")).select("id", line.alias("line")), "line", kind).filter("p is not null")
+    return back.groupBy(F.col("id").alias("part_id")).agg(F.count("*").alias("n"), *[F.sum(F.col(f"p.{f}")).cast("bigint").alias(f) for f in ("dx", "dy", "dz", "cx", "rz")])
+
+
+def library_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _coded(spark, d, "library")
+
+
+def footprint_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _coded(spark, d, "footprint")
+
+
 def axis_orders(spark: SparkSession, d: str) -> DataFrame:
     """Which order of the axes brings a part closest to a 48 x 24 strip, and whether that order is even."""
     best = G.best_order((F.col("dx"), F.col("dy"), F.col("dz")), F.array(F.lit(48.0), F.lit(24.0), F.lit(None).cast("double")))
@@ -133,8 +195,7 @@ def axis_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def box_fits(spark: SparkSession, d: str) -> DataFrame:
     """A box around the corners of each design."""
-    pts = D.corner_points(_parsed(spark, d)).groupBy("entry_id").agg(F.collect_list(F.struct("x", "y", "z")).alias("points"))  # the corners of one design
-    return S.fit_boxes(pts, ["entry_id"])
+    return S.fit_boxes(_parsed(spark, d).select("entry_id", G.corner_array(F.col("parts")).alias("points")), ["entry_id"])
 
 
 def layout(spark: SparkSession, d: str) -> DataFrame:
@@ -147,8 +208,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            design_parts, design_readable, design_text_sorted, part_rotations, canonical_rotations, neighbour_gaps, upright_overlaps, neighbour_scores, part_rewards, reward_summary,
-            completion_rewards, closest_sizes, tenth_corners, voxel_fits, design_extents, normalised_extents, library_fit, footprint_fit, axis_orders, box_fits, layout,
+            design_parts, design_readable, design_text_sorted, part_rotations, canonical_rotations, canonical_same, euler_round_trip, upright_rewards, upright_scores, neighbour_gaps, upright_overlaps, neighbour_scores, part_rewards, reward_summary,
+            completion_rewards, closest_sizes, tenth_corners, voxel_fits, design_extents, normalised_extents, library_fit, footprint_fit, library_lines, footprint_lines, axis_orders, box_fits, layout,
         )
     }
 
@@ -180,7 +241,24 @@ def oracle_sql() -> dict[str, str]:
     ortho = "[{x}[2]*{y}[3] - {x}[3]*{y}[2], {x}[3]*{y}[1] - {x}[1]*{y}[3], {x}[1]*{y}[2] - {x}[2]*{y}[1]]"
     crosses = ", ".join(ortho.format(x=f"a.{x}", y=f"b.{y}") for x in "uvw" for y in "uvw")
     order = {(0, 1, 2): "dx,dy", (0, 2, 1): "dx,dz", (1, 0, 2): "dy,dx", (1, 2, 0): "dy,dz", (2, 0, 1): "dz,dx", (2, 1, 0): "dz,dy"}
+    flat = "flatparts as (select * from parts where entry_id in (select entry_id from parts group by entry_id having bool_and(rx = 0 and ry = 0 and rz = 0)))"
+    axis_gap = "greatest(0.0::double, " + ", ".join(f"abs({{a}}.{c} - {{b}}.{c}) - ({{a}}.{d} + {{b}}.{d}) / 2" for d, c in (("dx", "cx"), ("dy", "cy"), ("dz", "cz"))) + ")"
+    low, high = ([f"l.{c} {sign} l.{d} / 2" for d, c in (("dx", "cx"), ("dy", "cy"), ("dz", "cz"))] for sign in "-+")
+    worst = "greatest(" + ", ".join([f"-({x})" for x in low] + [f"({x}) - {m}" for x, m in zip(high, (*G.BOUNDS[:2], S.HEIGHT))]) + ")"
+    floor = ", ".join(f"{v}::double as {k}" for k, v in S.FLOOR.items())
     return {
+        "canonical_same": f"with {_PARTS} select distinct rx, ry, rz, true as same, true as inside from parts",
+        "euler_round_trip": f"with {_PARTS} select distinct rx, ry, rz, true as same from parts",
+        "upright_scores": f"""with {_PARTS}, {flat}, {_PAIRS.format(t="flatparts")}, m as (select entry_id, i::int as i, {axis_gap.format(a="a", b="b")} as gap, {common} as volume from pairs)
+select entry_id, i, round_even(case when gap > 0 then tanh(gap * 0.2) else tanh(volume * -0.001) end, 6) as score from m""",
+        "upright_rewards": f"""with {_PARTS}, {flat}, n as (select *, max(part_idx) over (partition by entry_id) as newest from flatparts),
+l as (select * from n where part_idx = newest), o as (select entry_id, part_idx + 1 as i, dx, dy, dz, cx, cy, cz from n where part_idx < newest union all select entry_id, 0, dx, dy, dz, cx, cy, cz from (select distinct entry_id, {floor} from n)),
+pair as (select l.entry_id, o.i, {axis_gap.format(a="l", b="o")} as gap, case when o.i > 0 then {common.replace("a.", "l.").replace("b.", "o.")} else 0 end as volume from l join o using (entry_id)),
+g as (select entry_id, sum(volume) as volume, list(i - 1 order by i) filter (volume > 0) as hits, arg_min(i, row(gap, i)) as i, min(gap) as gap from pair group by entry_id),
+r as (select l.entry_id, case when newest = 0 then row(0.5, 'first_part', [])
+    when least(dx, dy, dz) < {S.LEAST_SIZE} then row(0.0, 'too_small', []) when {low[2]} < 0 then row(1 - tanh({worst}), 'below_floor', []) when {worst} > 0 then row(0.0, 'out_of_bounds', [])
+    when volume > 0 then row(1 - tanh(volume * 0.001), 'overlap', hits) when g.i = 0 then row(1 - tanh(gap * 0.2), 'floor_gap', []) else row(1 - tanh(gap * 0.2), 'part_gap', [g.i - 1]) end as x from l join g using (entry_id))
+select entry_id, round_even(x[1]::double, 6) as reward, x[2] as reason, x[3]::int[] as hits from r""",
         "design_parts": f"with {_PARTS} select entry_id, part_idx::int as part_idx, dx, dy, dz, cx, cy, cz, rx, ry, rz from parts",
         "design_readable": f"with {_PARTS} select good as readable, count(*) as n from okay group by good",
         "design_text_sorted": f"with {_PARTS} select entry_id, coalesce(string_agg(concat_ws(' ', dx, dy, dz, cx, cy, cz, rx, ry, rz), chr(10) order by cz, part_idx) filter (least(dx, dy, dz) > 0), '') as text from parts group by entry_id",
@@ -205,6 +283,12 @@ select id as part_id, count(*) as n, round_even(avg(misfit), 3) as misfit from b
         "footprint_fit": f"""with {_PARTS}, {_sql_table("foot", G.FOOTPRINTS, "id, x, y")},
 best as (select entry_id, part_idx, id, least({", ".join(f"sqrt(pow({o.split(',')[0]} - x, 2) + pow({o.split(',')[1]} - y, 2))" for o in order.values())}) as misfit from parts, foot qualify row_number() over (partition by entry_id, part_idx order by misfit, id) = 1)
 select id as part_id, count(*) as n, round_even(avg(misfit), 3) as misfit from best group by id""",
+        "library_lines": f"""with {_PARTS}, {_sql_table("lib", G.LIBRARY, "id, x, y, z")}, sized as (select *, list_sort([dx, dy, dz]) as s from parts),
+best as (select id, x, y, z, cx, rz, sqrt(pow(s[1] - l[1], 2) + pow(s[2] - l[2], 2) + pow(s[3] - l[3], 2)) as misfit from sized, (select *, list_sort([x, y, z]) as l from lib) qualify row_number() over (partition by entry_id, part_idx order by misfit, id) = 1)
+select id as part_id, count(*) as n, sum(x)::bigint as dx, sum(y)::bigint as dy, sum(z)::bigint as dz, sum(cx)::bigint as cx, sum(rz)::bigint as rz from best group by id""",
+        "footprint_lines": f"""with {_PARTS}, {_sql_table("foot", G.FOOTPRINTS, "id, x, y")},
+best as (select id, x, y, dz, cx, rz, least({", ".join(f"sqrt(pow({o.split(',')[0]} - x, 2) + pow({o.split(',')[1]} - y, 2))" for o in order.values())}) as misfit from parts, foot qualify row_number() over (partition by entry_id, part_idx order by misfit, id) = 1)
+select id as part_id, count(*) as n, sum(x)::bigint as dx, sum(y)::bigint as dy, sum(dz)::bigint as dz, sum(cx)::bigint as cx, sum(rz)::bigint as rz from best group by id""",
         "axis_orders": f"""with {_PARTS}, o(k, axis_order, parity) as (values {", ".join(f"({k}, {list(o)}, {1 if o in ((0, 1, 2), (1, 2, 0), (2, 0, 1)) else -1})" for k, o in enumerate(sorted(order)))}),
 best as (select axis_order, parity, sqrt(pow([dx, dy, dz][axis_order[1] + 1] - 48, 2) + pow([dx, dy, dz][axis_order[2] + 1] - 24, 2)) as off, k from parts, o qualify row_number() over (partition by entry_id, part_idx order by off, k) = 1)
 select axis_order, parity, count(*) as n from best group by axis_order, parity""",

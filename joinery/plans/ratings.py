@@ -61,7 +61,7 @@ def rating_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pivot_reviewer_model(spark: SparkSession, d: str) -> DataFrame:
-    return R.pivot_means(_clean(spark, d), "reviewer", "model_type", [m for m, _ in SHOWN[:4]], F.col("assemblability"))
+    return R.pivot_reviewers(_clean(spark, d), [m for m, _ in SHOWN])
 
 
 def overall_by_model(spark: SparkSession, d: str) -> DataFrame:
@@ -82,13 +82,15 @@ def match_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bars_by_distribution(spark: SparkSession, d: str) -> DataFrame:
-    rows = _meta(spark, d).na.drop(subset=["difficulty_level"]).filter(F.col("distribution") == "indistribution").withColumn("overall", R.overall())
-    return R.ordered(R.means(rows, "model_type", metrics=(*R.METRICS, "overall")), SHOWN, dict.fromkeys((*R.METRICS, "overall"), 0.0))
+    rows = _meta(spark, d).na.drop(subset=["difficulty_level"]).withColumn("overall", R.overall())
+    means = R.means(rows, "model_type", "distribution", metrics=(*R.METRICS, "overall"))
+    return R.ordered(means, SHOWN, dict.fromkeys((*R.METRICS, "overall"), 0.0), ("distribution", DIST))
 
 
 def bars_by_level(spark: SparkSession, d: str) -> DataFrame:
-    rows = _meta(spark, d).na.drop(subset=["distribution"]).filter("difficulty_level = 2")
-    return R.ordered(R.means(rows, "model_type"), SHOWN, dict.fromkeys(R.METRICS, 0.0))
+    rows = _meta(spark, d).na.drop(subset=["distribution"]).withColumn("overall", R.overall())
+    means = R.means(rows, "model_type", "difficulty_level", metrics=(*R.METRICS, "overall"))
+    return R.ordered(means, SHOWN, dict.fromkeys((*R.METRICS, "overall"), 0.0), ("difficulty_level", LEVELS))
 
 
 def pivot_distribution(spark: SparkSession, d: str) -> DataFrame:
@@ -171,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
 select model_type, metric, any_value(n) as n, any_value(q1) as q1, any_value(median) as median, any_value(q3) as q3,
     min(value) filter (value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as low, max(value) filter (value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as high,
     count(*) filter (not value between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as outliers from long join q using (model_type, metric) group by model_type, metric""",
-        "pivot_reviewer_model": f"with {_CLEAN} select reviewer, " + ", ".join(_r(f"avg(assemblability) filter (model_type = '{m}')", f"model_type_{m}") for m, _ in SHOWN[:4]) + " from clean where reviewer is not null and model_type is not null group by all",
+        "pivot_reviewer_model": f"with {_CLEAN}, long as (" + " union all ".join(f"select reviewer, model_type, '{m}' as metric, {m} as value from clean where reviewer is not null and model_type is not null" for m in _M) + ") select metric, reviewer, " + ", ".join(_r(f"avg(value) filter (model_type = '{m}')", f'"model_type_{m}"') for m, _ in SHOWN) + " from long where (select count(distinct reviewer) from long) > 1 group by all",
         "overall_by_model": f"with {_CLEAN}, {_DIM}, s as (select model_type, {_r(f'avg({_OVER})', 'overall_mean')}, {_r(f'stddev_samp({_OVER})', 'overall_std')} from clean group by all) select * from dim left join s using (model_type)",
         "mean_by_model_distribution": f"with {_CLEAN}, {_META} select model_type, distribution, {_avg} from joined where model_type is not null and distribution is not null and difficulty_level is not null group by all",
         "mean_sets": f"""with {_CLEAN}, {_META} select model_type, distribution, difficulty_level, {_avg},
@@ -179,10 +181,11 @@ select model_type, metric, any_value(n) as n, any_value(q1) as q1, any_value(med
 from joined where model_type is not null and distribution is not null and difficulty_level is not null
 group by grouping sets ((model_type, distribution), (distribution), (model_type, difficulty_level), (difficulty_level), (model_type, distribution, difficulty_level))""",
         "match_counts": f"with {_CLEAN}, {_META} select count(*) as ratings, count(distribution) as matched from joined",
-        "bars_by_distribution": f"with {_CLEAN}, {_META}, {_DIM}, s as (select model_type, {_avg}, {_r(f'avg({_OVER})', 'overall')} from joined where distribution = 'indistribution' and difficulty_level is not null group by all) select model_type, display, ord, "
-        + ", ".join(f"coalesce({m}, 0) as {m}" for m in (*_M, "overall"))
-        + " from dim left join s using (model_type)",
-        "bars_by_level": f"with {_CLEAN}, {_META}, {_DIM}, s as (select model_type, {_avg} from joined where distribution is not null and difficulty_level = 2 group by all) select model_type, display, ord, " + ", ".join(f"coalesce({m}, 0) as {m}" for m in _M) + " from dim left join s using (model_type)",
+        **{
+            f"bars_by_{n}": f"with {_CLEAN}, {_META}, {_DIM}, v({k}) as (values {values}), s as (select model_type, {k}, {_avg}, {_r(f'avg({_OVER})', 'overall')} from joined where distribution is not null and difficulty_level is not null group by all) select model_type, display, ord, {k}, "
+            + ", ".join(f"coalesce({m}, 0) as {m}" for m in (*_M, "overall")) + f" from dim cross join v left join s using (model_type, {k})"
+            for n, k, values in (("distribution", "distribution", ", ".join(f"('{x}')" for x in DIST)), ("level", "difficulty_level", ", ".join(f"({x})" for x in LEVELS)))
+        },
         "pivot_distribution": f"with {_CLEAN}, {_META} select model_type, " + ", ".join(_r(f"avg({_OVER}) filter (distribution = '{x}')", f"distribution_{x}") for x in DIST) + " from joined where model_type is not null and distribution is not null and difficulty_level is not null group by all",
         "pivot_level": f"with {_CLEAN}, {_META} select model_type, " + ", ".join(_r(f"avg({_OVER}) filter (difficulty_level = {x})", f"difficulty_level_{x}") for x in LEVELS) + " from joined where model_type is not null and distribution is not null and difficulty_level is not null group by all",
         "trend_by_level": f"with {_CLEAN}, {_META} select model_type, difficulty_level, {_r(f'avg({_OVER})', 'overall')} from joined where model_type is not null and distribution is not null and difficulty_level is not null group by all",

@@ -28,7 +28,7 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 def ratings(spark: SparkSession, folder: str) -> DataFrame:
     """All `*_ratings.csv` of a folder as text cells, with the reviewer each file is named after; unreadable files are passed over."""
     rows = spark.read.option("ignoreCorruptFiles", True).option("pathGlobFilter", "*_ratings.csv").csv(folder, header=True, schema=RATINGS, multiLine=True, escape='"', mode="PERMISSIVE")
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name")).withColumn("reviewer", reviewer_of(F.url_decode("file_name")))
+    return rows.select("*", F.col("_metadata.file_name").alias("file_name")).withColumn("reviewer", reviewer_of(_from_url(F.col("file_name"))))
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
@@ -39,23 +39,39 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, value): the files below a folder as texts."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("path"), "value")
+    return rows.select(_from_url(F.col("_metadata.file_path")).alias("path"), "value")
 
 
 def _part(n: int, column: str = "path") -> F.Column:
-    """The n-th folder from the end of a path, the file itself being 0."""
-    return F.url_decode(F.element_at(F.split(column, "/"), -1 - n))
+    """The n-th folder from the end of a plain path, the file itself being 0."""
+    return F.element_at(F.split(column, "/"), -1 - n)
+
+
+def _from_url(c: F.Column) -> F.Column:
+    """A path of the metadata column, whose special characters are percent-encoded, as a plain path; a plus sign stays one."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def folders(spark: SparkSession, folder: str, depth: int) -> DataFrame:
+    """(path): the folders `depth` steps below a folder, empty ones too, by the file system's own listing; each level is one listing per folder above it."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level = [top] if fs.exists(top) else []
+    for _ in range(depth):
+        level = [s.getPath() for at in level for s in fs.listStatus(at) if s.isDirectory()]
+    root = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    return spark.createDataFrame([(p.toUri().getPath()[len(root) + 1 :],) for p in level], "path string")
 
 
 def designs(spark: SparkSession, folder: str) -> DataFrame:
     """(model_type, experiment_id, prompt, generation_time) of `<model>/<experiment>/info.json`, sorted.
 
-    A folder without a readable info.json keeps its row, with an empty prompt and no time; folders whose name begins
-    with a dot are passed over.
+    A folder without a readable info.json keeps its row, with an empty prompt and no time, even if it is empty; folders whose name
+    begins with a dot are passed over.
     """
-    where = listing(spark, folder).select(_part(2).alias("model_type"), _part(1).alias("experiment_id"), "path")
-    found = where.filter(~F.col("model_type").startswith(".") & ~F.col("experiment_id").startswith(".")).withColumn("below", F.element_at(F.split("path", F.lit(folder.rstrip("/") + "/")), -1))
-    found = found.filter(F.size(F.split("below", "/")) == 3).select("model_type", "experiment_id").distinct()
+    found = folders(spark, folder, 2).select(_part(1).alias("model_type"), _part(0).alias("experiment_id"))
+    found = found.filter(~F.col("model_type").startswith(".") & ~F.col("experiment_id").startswith("."))
     info = whole_files(spark, folder, "info.json").select(_part(2).alias("model_type"), _part(1).alias("experiment_id"), F.from_json("value", "generation_time double, prompt string").alias("x"))
     return found.join(info, ["model_type", "experiment_id"], "left").select("model_type", "experiment_id", F.coalesce("x.prompt", F.lit("")).alias("prompt"), "x.generation_time").orderBy("model_type", "experiment_id")
 
@@ -72,15 +88,15 @@ def model_meta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def numeric_folders(spark: SparkSession, folder: str) -> DataFrame:
-    """(dir_id): folders whose name is a number."""
-    return listing(spark, folder).select(_part(1).alias("dir_id")).filter(is_digits(F.col("dir_id"))).distinct()
+    """(dir_id): folders just below a folder whose name is a number, empty ones too."""
+    return folders(spark, folder, 1).select(F.col("path").alias("dir_id")).filter(is_digits(F.col("dir_id")))
 
 
 def object_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """(object_id, category, part_count): models with their number of part meshes."""
+    """(object_id, category, dir_id, model_dir, part_count): models with their folder and their number of part meshes."""
     counts = listing(spark, folder, "*.obj").select(_part(2).alias("dir_id")).groupBy("dir_id").agg(F.count("*").cast("int").alias("part_count"))
     meta = model_meta(spark, folder)
-    return meta.join(counts, "dir_id", "left").select(F.col("model_id").alias("object_id"), F.col("model_cat").alias("category"), "dir_id", F.coalesce("part_count", F.lit(0)).alias("part_count"))
+    return meta.join(counts, "dir_id", "left").select(F.col("model_id").alias("object_id"), F.col("model_cat").alias("category"), "dir_id", F.concat(F.lit(folder.rstrip("/") + "/"), "dir_id").alias("model_dir"), F.coalesce("part_count", F.lit(0)).alias("part_count"))
 
 
 def shape_catalogue(spark: SparkSession, folder: str, synsets: DataFrame) -> DataFrame:
@@ -132,7 +148,7 @@ def meshes(spark: SparkSession, folder: str, most_parts: int = 100) -> DataFrame
     Models with more than `most_parts` files are left out before any file is read. Lines are parsed JVM-side.
     """
     few = listing(spark, folder, "*.obj").select(_part(2).alias("dir_id")).groupBy("dir_id").count().filter(f"count <= {most_parts}").select("dir_id")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.obj").text(folder).select(F.col("_metadata.file_path").alias("path"), "value").filter("value like 'v %'")
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.obj").text(folder).select(_from_url(F.col("_metadata.file_path")).alias("path"), "value").filter("value like 'v %'")
     t = F.split(F.trim(F.regexp_replace(F.expr("substring(value, 2)"), r"\s+", " ")), " ")
     v = lines.select(_part(2).alias("dir_id"), F.regexp_replace(_part(0), r"\.obj$", "").alias("mesh_id"), *[F.get(t, F.lit(i)).try_cast("double").alias(a) for i, a in enumerate("xyz")])
     v = v.filter("x is not null and y is not null and z is not null").distinct().join(few, "dir_id", "left_semi")
@@ -142,6 +158,31 @@ def meshes(spark: SparkSession, folder: str, most_parts: int = 100) -> DataFrame
     return v.withColumn("pt_idx", F.row_number().over(w) - 1).select("dir_id", "mesh_id", "pt_idx", "x", "y", "z")
 
 
+def faces(spark: SparkSession, folder: str) -> DataFrame:
+    """(dir_id, mesh_id, face, corners): the faces of each part's OBJ file in file order, as numbers of vertices counted from 0.
+
+    Of a corner `v/vt/vn` only the vertex is kept. Numbers below 0 count back from the vertices read so far. An OBJ file is read whole, since the
+    order of its lines matters.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for dir_id, mesh_id, text in zip(pdf["dir_id"], pdf["mesh_id"], pdf["value"]):
+                vertices = n = 0
+                for line in text.splitlines():
+                    kind, *rest = line.split() or [""]
+                    vertices += kind == "v"
+                    if kind == "f" and len(rest) >= 3 and all(c.split("/")[0].lstrip("-").isdecimal() for c in rest):
+                        numbers = [int(c.split("/")[0]) for c in rest]
+                        out.append((dir_id, mesh_id, n, [k - 1 if k > 0 else vertices + k for k in numbers]))
+                        n += 1
+            yield pd.DataFrame(out, columns=["dir_id", "mesh_id", "face", "corners"])
+
+    rows = whole_files(spark, folder, "*.obj").select(_part(2).alias("dir_id"), F.regexp_replace(_part(0), r"\.obj$", "").alias("mesh_id"), "value")
+    return rows.mapInPandas(run, "dir_id string, mesh_id string, face int, corners array<int>")
+
+
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     """Training conversations of a JSON-lines file or folder."""
     return spark.read.schema(MESSAGES).json(path)

@@ -26,8 +26,28 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     flat(df).write.mode(mode).csv(path, header=True, escape='"')
 
 
-def write_jsonl(df: DataFrame, path: str, split: str | None = None, mode: str = "overwrite") -> None:
-    """JSON lines; with a split column, one folder `split=...` per split."""
+def escaped(text: F.Column) -> F.Column:
+    """A JSON text with every character beyond ASCII as `\\uXXXX`, those beyond the basic plane as two."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        def one(c: str) -> str:
+            raw = c.encode("utf-16-be")
+            return "".join(f"\\u{raw[k]:02x}{raw[k + 1]:02x}" for k in range(0, len(raw), 2))
+
+        return x.map(lambda t: t if t is None or t.isascii() else "".join(c if c.isascii() else one(c) for c in t))
+
+    return run(text)
+
+
+def write_jsonl(df: DataFrame, path: str, split: str | None = None, mode: str = "overwrite", ascii_only: bool = False) -> None:
+    """JSON lines; with a split column, one folder `split=...` per split. With ascii_only, other characters are written as escapes."""
+    if ascii_only:
+        names = [c for c in df.columns if c != split]
+        line = escaped(F.to_json(F.struct(*names))).alias("value")
+        rows = df.select(line, *([split] if split else []))
+        (rows.write.mode(mode).partitionBy(split) if split else rows.write.mode(mode)).text(path)
+        return
     w = df.write.mode(mode)
     (w.partitionBy(split) if split else w).json(path)
 

@@ -137,3 +137,56 @@ def test_rating_stream_upserts(spark, tmp_path):
     assert now.count() == 3 and len(stream.versions(spark, out)) == 2
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert stream.windowed_counts(events).agg({"n": "sum"}).first()[0] == events.count()
+
+
+def test_folders_and_special_names(spark, tmp_path):
+    """Empty folders, plus signs and blanks in names, files at other depths."""
+    for at, text in {"m+x/001/info.json": '{"generation_time": 1.5, "prompt": "p"}', "m y/a b/design.txt": "x", ".git/001/info.json": "{}", "loose.txt": "x", "m+x/notes.txt": "x", "123/objs/a.obj": "v 0 0 0", "124/9/a.txt": "x"}.items():
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(text)
+    (tmp_path / "m+x" / "002").mkdir()
+    (tmp_path / "7").mkdir()
+    got = {(r[0], r[1]): (r[2], r[3]) for r in files.designs(spark, str(tmp_path)).collect()}
+    assert got == {("m+x", "001"): ("p", 1.5), ("m+x", "002"): ("", None), ("m y", "a b"): ("", None), ("123", "objs"): ("", None), ("124", "9"): ("", None)}
+    assert {r[0] for r in files.numeric_folders(spark, str(tmp_path)).collect()} == {"123", "124", "7"}
+    assert files.numeric_folders(spark, str(tmp_path / "7")).count() == 0
+
+
+def test_faces(spark, tmp_path):
+    at = tmp_path / "5" / "objs"
+    at.mkdir(parents=True)
+    (at / "p.obj").write_text("v 0 0 0\nv 1 0 0\nv 0 1 0\nf 1 2 3\nf 1/4/2 3//1 2/2\nf -1 -2 -3\nf 1 2\nf a b c\n# f 1 2 3\n")
+    got = [(r["face"], list(r["corners"])) for r in files.faces(spark, str(tmp_path)).orderBy("face").collect()]
+    assert got == [(0, [0, 1, 2]), (1, [0, 2, 1]), (2, [2, 1, 0])]
+    assert {r["dir_id"] for r in files.faces(spark, str(tmp_path)).collect()} == {"5"}
+
+
+def test_escaped_lines(spark, tmp_path):
+    import json
+
+    rows = [("train", 'é "x" \U0001f600\n', 1), ("test", None, 2), ("test", "plain", 3)]
+    sinks.write_jsonl(spark.createDataFrame(rows, "split string, text string, n int"), str(tmp_path / "o"), split="split", ascii_only=True)
+    raw = "".join(p.read_text("utf-8") for p in (tmp_path / "o").rglob("*.txt"))
+    assert raw.isascii() and "\\u00e9" in raw and "\\ud83d\\ude00" in raw
+    assert sorted((json.loads(x) for x in raw.splitlines()), key=lambda r: r["n"]) == [{"text": rows[0][1], "n": 1}, {"n": 2}, {"text": "plain", "n": 3}]
+
+
+def test_dense_grid(spark):
+    from joinery.operators import voxels as V
+
+    pts = spark.createDataFrame([("a", 0, 0, 0), ("a", 1, 2, 3), ("a", 1, 2, 3), ("a", 9, 0, 0), ("b", 1, 0, 0)], "m string, i int, j int, k int")
+    grid = V.dense(pts, ["m"], (2, 3, 4))
+    assert grid.count() == 48 and sorted(map(tuple, V.sparse(grid, ["m"]).collect())) == [("a", 0, 0, 0), ("a", 1, 2, 3), ("b", 1, 0, 0)]
+    big = V.dense(pts.limit(1), ["m"], (128, 128, 128))
+    assert big.count() == 128**3 and big.filter("filled").count() == 1
+
+
+def test_expand_splits(spark, monkeypatch):
+    from joinery.operators import dataset as D
+
+    rows = spark.createDataFrame([(i, [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a\nb"}]) for i in range(4)], "entry_id bigint, messages array<struct<role:string,content:string>>")
+    with pytest.warns(UserWarning, match="no split test"):
+        got = D.expand_splits({"train": rows}, ["entry_id"], "all")
+    assert set(got) == {"train"} and got["train"].count() == 12
+    monkeypatch.setattr(D, "MOST_EXAMPLES", 5)
+    assert D.expand_splits({"train": rows, "test": rows}, ["entry_id"], "all")["test"].count() == 5
