@@ -71,3 +71,17 @@ def best_scale(scores: DataFrame, key: str) -> DataFrame:
     """(key, scale, score): the scale of the highest score; of equal ones the smallest."""
     best = scores.groupBy(key).agg(F.max(F.struct("score", (-F.col("scale")).alias("s"))).alias("x"))
     return best.select(key, (-F.col("x.s")).alias("scale"), "x.score")
+
+
+def fit_models(tree: DataFrame, points: DataFrame, keys: list[str], scales: list[float], size: float = 5.0, strategy: Strategy = fit_box) -> tuple[DataFrame, DataFrame]:
+    """(keys, scale, p) and (keys, scale, score): the boxes of each model at the scale of its highest agreement.
+
+    Meshes (keys, mesh_id, x, y, z) are scaled, fitted one by one, and searched level by level, all models and scales at once.
+    """
+    at = [*keys, "scale"]
+    boxes = cut(mesh_boxes(scaled(points, scales), at))
+    every = tree.withColumn("scale", F.explode(F.array(*[F.lit(float(s)) for s in scales])))
+    chosen, scores = search(every, boxes, at, size, strategy)
+    best = scores.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("scale")).alias("s"))).alias("x"))
+    best = cut(best.select(*keys, (-F.col("x.s")).alias("scale"), "x.score"))
+    return chosen.join(best.select(*at), at, "left_semi"), best

@@ -12,6 +12,7 @@ from joinery.functions.designs import last_content
 from joinery.functions.scalars import grid_side, linspace, round_even
 from joinery.operators import completions as C
 from joinery.operators import designs as D
+from joinery.operators import hierarchy as H
 from joinery.operators import solids as S
 from joinery.operators import tables as T
 from joinery.operators import voxels as V
@@ -198,6 +199,18 @@ def box_fits(spark: SparkSession, d: str) -> DataFrame:
     return S.fit_boxes(_parsed(spark, d).select("entry_id", G.corner_array(F.col("parts")).alias("points")), ["entry_id"])
 
 
+def fitted_models(spark: SparkSession, d: str) -> DataFrame:
+    """Designs as part trees (all parts, and below them the parts up to half the height and the others), fitted at two scales: the best scale, its agreement and number of boxes."""
+    parsed = _parsed(spark, d)
+    rows = parsed.select("entry_id", F.posexplode("parts").alias("part_idx", "p"), F.array_max(F.transform("parts", lambda p: p["cz"])).alias("top"))
+    side = rows.select("entry_id", F.col("part_idx").cast("string").alias("mesh_id"), F.when(F.col("p.cz") <= F.col("top") / 2, 1).otherwise(2).cast("bigint").alias("node_id"))
+    leaf = side.groupBy("entry_id", "node_id").agg(F.collect_list("mesh_id").alias("objs")).select("entry_id", "node_id", F.lit(0).cast("bigint").alias("parent_id"), "objs", F.lit(1).alias("depth"))  # a design's parts
+    root = leaf.groupBy("entry_id").agg(F.flatten(F.collect_list("objs")).alias("objs")).select("entry_id", F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), "objs", F.lit(0).alias("depth"))
+    points = D.corner_points(parsed).withColumn("mesh_id", F.col("part_idx").cast("string"))
+    boxes, best = H.fit_models(leaf.unionByName(root), points.select("entry_id", "mesh_id", "x", "y", "z"), ["entry_id"], [1.0, 1.5], 10.0)
+    return best.join(boxes.groupBy("entry_id").agg(F.count("*").alias("boxes")), "entry_id").select("entry_id", "scale", round_even(F.col("score"), 6).alias("score"), "boxes")
+
+
 def layout(spark: SparkSession, d: str) -> DataFrame:
     """The side of the square sheet that shows a design's parts, and marks along it."""
     n = F.size("parts")
@@ -209,7 +222,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             design_parts, design_readable, design_text_sorted, part_rotations, canonical_rotations, canonical_same, euler_round_trip, upright_rewards, upright_scores, neighbour_gaps, upright_overlaps, neighbour_scores, part_rewards, reward_summary,
-            completion_rewards, closest_sizes, tenth_corners, voxel_fits, design_extents, normalised_extents, library_fit, footprint_fit, library_lines, footprint_lines, axis_orders, box_fits, layout,
+            completion_rewards, closest_sizes, tenth_corners, voxel_fits, design_extents, normalised_extents, library_fit, footprint_fit, library_lines, footprint_lines, axis_orders, box_fits, fitted_models, layout,
         )
     }
 
