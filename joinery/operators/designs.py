@@ -20,9 +20,14 @@ _BOXES = "array<struct<" + ", ".join(f"{f}: double" for f in G.FIELDS) + ">>"
 TOKENS = {"cuboid": 9, "library": 7, "footprint": 8}
 
 
+#: What a text of flat lines doesn't have: other characters than digits, blanks and line ends, and two of these together or outside.
+_UNEVEN = r"[^0-9 \n]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+
+
 def flat_lines(text: Column) -> Column:
-    """The lines of a stripped text, each with single blanks; the empty text is one empty line."""
-    return F.transform(F.split(strip(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    """The lines of a stripped text, each with single blanks; the empty text is one empty line. Texts that are flat already are only split."""
+    even = F.transform(F.split(strip(text), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    return F.when(text.rlike(_UNEVEN), even).otherwise(F.split(text, "\n"))
 
 
 def readable(text: Column, kind: str = "cuboid") -> Column:
@@ -30,18 +35,21 @@ def readable(text: Column, kind: str = "cuboid") -> Column:
     return F.forall(flat_lines(text), lambda x: x.rlike(pattern))
 
 
+def _read(text: Column) -> Column:
+    """An array of the parts of a readable text, an array of box structs; else an empty array or null. Lines are read once, and split once."""
+    tokens = F.transform(flat_lines(text), lambda x: F.when(x.rlike(_LINE), F.split(x, " ")))
+    part = lambda x: F.when(x.isNotNull(), F.struct(*[F.get(x, F.lit(i)).try_cast("double").alias(f) for i, f in enumerate(G.FIELDS)]))
+    return F.filter(F.array(F.transform(tokens, part)), lambda parts: F.forall(parts, lambda p: p["dx"].isNotNull()))
+
+
 def parts_of(text: Column) -> Column:
     """The parts of a design text in text order, an array of box structs; null for unreadable and null texts."""
-    part = lambda x: F.when(x.rlike(_LINE), F.struct(*[F.get(F.split(x, " "), F.lit(i)).try_cast("double").alias(f) for i, f in enumerate(G.FIELDS)]))
-    # in an array of one, so that the lines are read once
-    return F.get(F.filter(F.array(F.transform(flat_lines(text), part)), lambda parts: F.forall(parts, lambda p: p["dx"].isNotNull())), F.lit(0))
+    return F.get(_read(text), F.lit(0))
 
 
 def parse(designs: DataFrame, text: str = "design", keep: tuple[str, ...] = ("entry_id",)) -> DataFrame:
     """(keep, parts): readable designs with their parts in text order; others are left out."""
-    part = lambda x: F.struct(*[F.get(F.split(x, " "), F.lit(i)).try_cast("double").alias(f) for i, f in enumerate(G.FIELDS)])
-    rows = designs.filter(F.col(text).isNotNull()).withColumn("_lines", flat_lines(F.col(text))).filter(F.forall("_lines", lambda x: x.rlike(_LINE)))
-    return rows.select(*keep, F.transform("_lines", part).alias("parts")).filter(F.forall("parts", lambda p: p["dx"].isNotNull()))
+    return designs.select(*keep, F.explode(_read(F.col(text))).alias("parts"))  # not a filter, which would read the text again
 
 
 def append_part(parts: Column, part: Column) -> Column:

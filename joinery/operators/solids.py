@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import permutations, product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from joinery.functions import geometry as G
 from joinery.session import spread
 
 COARSE, FINE = 20, 10
+#: Points that are turned at once; they stay in the processor's cache.
+POINTS = 20_000
 
 
 def axis_rotation(axis: int, degrees: float) -> np.ndarray:
@@ -29,26 +33,49 @@ def euler_matrix(rx: float, ry: float, rz: float) -> np.ndarray:
     return axis_rotation(2, rz) @ axis_rotation(1, ry) @ axis_rotation(0, rx)
 
 
+def fit_same(points: np.ndarray, coarse: int = COARSE, fine: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotations n x 3 x 3, sizes n x 3, centres n x 3): `fit_box` of n sets of as many points each (n x m x 3), all at once."""
+    n = len(points)
+    at = [np.ascontiguousarray(points[:, :, i].T) for i in range(3)]
+    centre = [x.mean(axis=0) for x in at]
+    at = [x - c for x, c in zip(at, centre)]
+    total = np.broadcast_to(np.eye(3), (n, 3, 3)).copy()
+
+    def turned(axis: int, angle: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
+        c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
+        y, z = at[(axis + 1) % 3], at[(axis + 2) % 3]
+        return y * c - z * s, y * s + z * c
+
+    def best(axis: int, first: np.ndarray, others: list) -> np.ndarray:
+        """Of the angles the one of the smallest volume, of equal ones the first."""
+        along, out, least = np.ptp(at[axis], axis=0), first, None
+        for angle in [first, *others]:
+            y, z = (np.ptp(x, axis=0) for x in turned(axis, angle))
+            volume = along * y * z if axis == 0 else z * along * y if axis == 1 else y * z * along  # always x * y * z
+            if least is None:
+                least = volume
+                continue
+            less = volume < least
+            least, out = np.where(less, volume, least), np.where(less, angle, out)
+        return out
+
+    for axis in range(3):
+        rough = best(axis, np.zeros(n), list(np.linspace(-45, 45, coarse)))
+        turn = best(axis, rough, [rough + a for a in np.linspace(-90 / coarse, 90 / coarse, fine)])
+        at[(axis + 1) % 3], at[(axis + 2) % 3] = turned(axis, turn)
+        c, s, j, k = np.cos(np.radians(turn))[:, None], np.sin(np.radians(turn))[:, None], (axis + 1) % 3, (axis + 2) % 3
+        total[:, j], total[:, k] = c * total[:, j] - s * total[:, k], s * total[:, j] + c * total[:, k]
+    return total.transpose(0, 2, 1), np.stack([np.ptp(x, axis=0) for x in at], axis=1), np.stack(centre, axis=1)
+
+
 def fit_box(points: np.ndarray, coarse: int = COARSE, fine: int = FINE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rotation, sizes, centre): a box of small volume around points, by turns about x, then y, then z.
 
     Per axis, of no turn and `coarse` angles within 45 degrees either way the one that gives the smallest volume, then of `fine`
     ones around it. `points @ rotation` are the points in the box's frame; the centre is the mean of the points.
     """
-    centre = points.mean(axis=0)
-    flat = points - centre
-    total = np.eye(3)
-
-    def best(axis: int, angles: np.ndarray) -> float:
-        turns = np.stack([axis_rotation(axis, a) for a in angles]) @ total
-        volume = np.ptp(flat @ turns.transpose(0, 2, 1), axis=1).prod(axis=1)
-        return float(angles[int(np.argmin(volume))])
-
-    for axis in range(3):
-        rough = best(axis, np.concatenate([[0.0], np.linspace(-45, 45, coarse)]))
-        turn = best(axis, np.concatenate([[rough], rough + np.linspace(-90 / coarse, 90 / coarse, fine)]))
-        total = axis_rotation(axis, turn) @ total
-    return total.T, np.ptp(flat @ total.T, axis=0), centre
+    rot, sizes, centre = fit_same(points[None], coarse, fine)
+    return rot[0], sizes[0], centre[0]
 
 
 def fit_misfit(points: np.ndarray, rot: np.ndarray, sizes: np.ndarray) -> float:
@@ -62,8 +89,6 @@ Strategy = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 def library_strategy(parts: tuple = G.LIBRARY) -> Strategy:
     """Fits a box, then takes the catalogue part closest to its sizes in some order of axes; missing sizes stay as fitted."""
-    from itertools import permutations
-
     def fit(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rot, sizes, centre = fit_box(points)
         orders = list(permutations(range(3)))
@@ -80,29 +105,99 @@ def library_strategy(parts: tuple = G.LIBRARY) -> Strategy:
     return fit
 
 
+def fit_sets(points: np.ndarray, n: np.ndarray, strategy: Strategy = fit_box) -> np.ndarray:
+    """(sets x 10: dx..rz, misfit): one box per set of n points, which lie one after another; sets without points give NaN.
+
+    By `fit_box`, sets of as many points are fitted together, POINTS at a time; other strategies get one set after another.
+    """
+    out, first = np.full((len(n), 10), np.nan), np.cumsum(n) - n
+    for m in np.unique(n[n > 0]):
+        every = np.flatnonzero(n == m)
+        step = max(1, POINTS // m) if strategy is fit_box else 1
+        for k in range(0, len(every), step):
+            own = every[k : k + step]
+            sets = points[first[own][:, None] + np.arange(m)]
+            if strategy is fit_box:
+                rot, sizes, centre = fit_same(sets)
+                misfit = np.linalg.norm(sizes - sizes, axis=1)  # the sizes are the points' extent in the box's frame
+            else:
+                rot, sizes, centre = (x[None] for x in strategy(sets[0]))
+                misfit = fit_misfit(sets[0], rot[0], sizes[0])
+            y = -np.degrees(np.arcsin(np.clip(rot[:, 2, 0], -1, 1)))
+            x, z = np.degrees(np.arctan2(rot[:, 2, 1], rot[:, 2, 2])), np.degrees(np.arctan2(rot[:, 1, 0], rot[:, 0, 0]))
+            out[own, :3], out[own, 3:6], out[own, 6:9], out[own, 9] = sizes, centre, np.stack([x, y, z], axis=1), misfit
+    return out
+
+
+def numbers(structs: pa.StructArray, fields: tuple[str, ...] = G.FIELDS) -> np.ndarray:
+    """(rows x fields) of an Arrow array of structs; nulls are NaN."""
+    return np.stack([np.asarray(structs.field(f).to_numpy(zero_copy_only=False), dtype=float) for f in fields], axis=1) if len(structs) else np.zeros((0, len(fields)))
+
+
+def lengths(lists: pa.ListArray) -> np.ndarray:
+    """How many items each list has; a null list has none."""
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fit_columns(fits: np.ndarray, some: np.ndarray) -> list[pa.Array]:
+    return [pa.array(c, mask=~some) for c in fits.T]
+
+
+def _fit_schema(df: DataFrame, keep: list[str]) -> str:
+    return ", ".join([*(f"`{k}` {t}" for k, t in df.select(*keep).dtypes), *(f"{f} double" for f in G.FIELDS), "misfit double"])
+
+
 def fit_boxes(meshes: DataFrame, keep: list[str], strategy: Strategy = fit_box) -> DataFrame:
     """(keep, dx..rz, misfit): one box per row of `meshes`, whose column `points` is array<struct<x,y,z>>. Rows without points give nulls."""
-    schema = ", ".join([*(f"`{k}` {t}" for k, t in meshes.select(*keep).dtypes), *(f"{f} double" for f in G.FIELDS), "misfit double"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for pts in pdf["points"]:
-                if pts is None or len(pts) == 0:
-                    out.append([None] * 10)
-                    continue
-                p = np.array([[q["x"], q["y"], q["z"]] for q in pts], dtype=float)
-                rot, sizes, centre = strategy(p)
-                m = rot
-                y = -np.degrees(np.arcsin(np.clip(m[2, 0], -1, 1)))
-                x, z = np.degrees(np.arctan2(m[2, 1], m[2, 2])), np.degrees(np.arctan2(m[1, 0], m[0, 0]))
-                out.append([*sizes, *centre, x, y, z, fit_misfit(p, rot, sizes)])
-            yield pd.concat([pdf[keep].reset_index(drop=True), pd.DataFrame(out, columns=[*G.FIELDS, "misfit"])], axis=1)
-
-    return spread(meshes.select(*keep, "points")).mapInPandas(run, schema)
-
-
-def _frames(boxes: np.ndarray) -> np.ndarray:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            n = lengths(lists)
+            fits = fit_sets(numbers(lists.flatten(), ("x", "y", "z")), n, strategy)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *_fit_columns(fits, n > 0)], names=[*keep, *G.FIELDS, "misfit"])
+
+    return spread(meshes.select(*keep, "points")).mapInArrow(run, _fit_schema(meshes, keep))
+
+
+def box_corners(boxes: np.ndarray) -> np.ndarray:
+    """(n x 8 x 3): the corners of boxes (n x 9), in the order of `geometry.corners`."""
+    half = np.array(list(product((-0.5, 0.5), repeat=3)))
+    edges = frames(boxes) * boxes[:, None, :3]
+    return boxes[:, None, 3:6] + np.stack([edges[:, i, None, 0] * half[:, 0] + edges[:, i, None, 1] * half[:, 1] + edges[:, i, None, 2] * half[:, 2] for i in range(3)], axis=2)
+
+
+def fit_designs(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, dx..rz, misfit): `fit_boxes` of the corners of all parts of each row's `parts`, without listing the corners in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            n = lengths(lists) * 8
+            fits = fit_sets(box_corners(numbers(lists.flatten())).reshape(-1, 3), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *_fit_columns(fits, n > 0)], names=[*keep, *G.FIELDS, "misfit"])
+
+    return parsed.select(*keep, "parts").mapInArrow(run, _fit_schema(parsed, keep))
+
+
+def fit_parts(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, fits): for each part of a row's `parts` the box fitted around its corners, an array of box structs."""
+    box = "struct<" + ", ".join(f"{f}: double" for f in G.FIELDS) + ">"
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in parsed.select(*keep).dtypes), f"fits array<{box}>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keep))
+            boxes = numbers(lists.flatten())
+            fits = fit_sets(box_corners(boxes).reshape(-1, 3), np.full(len(boxes), 8))
+            ends = pa.array(np.concatenate([[0], np.cumsum(lengths(lists))]).astype(np.int32))
+            found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(x) for x in fits.T[:9]], list(G.FIELDS)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], found], names=[*keep, "fits"])
+
+    return parsed.select(*keep, "parts").mapInArrow(run, schema)
+
+
+def frames(boxes: np.ndarray) -> np.ndarray:
     """The rotation matrices of boxes (n x 9)."""
     (sx, sy, sz), (kx, ky, kz) = ([f(np.radians(boxes[:, 6 + i])) for i in range(3)] for f in (np.sin, np.cos))
     rows = ((kz * ky, kz * sy * sx - sz * kx, kz * sy * kx + sz * sx), (sz * ky, sz * sy * sx + kz * kx, sz * sy * kx - kz * sx), (-sy, ky * sx, ky * kx))
@@ -111,7 +206,7 @@ def _frames(boxes: np.ndarray) -> np.ndarray:
 
 def _planes(boxes: np.ndarray, origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Outward normals (n x 6 x 3) and offsets (n x 6) of the faces, seen from the origin."""
-    axes = _frames(boxes).transpose(0, 2, 1)
+    axes = frames(boxes).transpose(0, 2, 1)
     at = np.einsum("nkc,nc->nk", axes, boxes[:, 3:6] - origin)
     half = boxes[:, :3] / 2
     return np.concatenate([axes, -axes], axis=1), np.concatenate([at + half, half - at], axis=1)

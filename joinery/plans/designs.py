@@ -201,14 +201,14 @@ def box_fits(spark: SparkSession, d: str) -> DataFrame:
 
 def fitted_models(spark: SparkSession, d: str) -> DataFrame:
     """Designs as part trees (all parts, and below them the parts up to half the height and the others), fitted at two scales: the best scale, its agreement and number of boxes."""
-    parsed = _parsed(spark, d)
-    rows = parsed.select("entry_id", F.posexplode("parts").alias("part_idx", "p"), F.array_max(F.transform("parts", lambda p: p["cz"])).alias("top"))
-    side = rows.select("entry_id", F.col("part_idx").cast("string").alias("mesh_id"), F.when(F.col("p.cz") <= F.col("top") / 2, 1).otherwise(2).cast("bigint").alias("node_id"))
-    leaf = side.groupBy("entry_id", "node_id").agg(F.collect_list("mesh_id").alias("objs")).select("entry_id", "node_id", F.lit(0).cast("bigint").alias("parent_id"), "objs", F.lit(1).alias("depth"))  # a design's parts
-    root = leaf.groupBy("entry_id").agg(F.flatten(F.collect_list("objs")).alias("objs")).select("entry_id", F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), "objs", F.lit(0).alias("depth"))
-    points = D.corner_points(parsed).withColumn("mesh_id", F.col("part_idx").cast("string"))
-    boxes, best = H.fit_models(leaf.unionByName(root), points.select("entry_id", "mesh_id", "x", "y", "z"), ["entry_id"], [1.0, 1.5], 10.0)
-    return best.join(boxes.groupBy("entry_id").agg(F.count("*").alias("boxes")), "entry_id").select("entry_id", "scale", round_even(F.col("score"), 6).alias("score"), "boxes")
+    rows = S.fit_parts(_parsed(spark, d), ["entry_id", "parts"]).select("entry_id", "parts", "fits", F.array_max(F.transform("parts", lambda p: p["cz"])).alias("top"))
+    objs = lambda keep: F.filter(F.transform("parts", lambda p, i: F.when(keep(p["cz"] <= F.col("top") / 2), i.cast("string"))), lambda x: x.isNotNull())
+    node = lambda n, up, depth, keep: F.struct(F.lit(n).cast("bigint").alias("node_id"), F.lit(up).cast("bigint").alias("parent_id"), F.lit(depth).alias("depth"), objs(keep).alias("objs"))
+    low = lambda x: F.coalesce(x, F.lit(False))
+    nodes = F.filter(F.array(node(0, None, 0, lambda x: F.lit(True)), node(1, 0, 1, low), node(2, 0, 1, lambda x: ~low(x))), lambda n: F.size(n["objs"]) > 0)
+    models = rows.select("entry_id", nodes.alias("nodes"), F.transform("fits", lambda p, i: F.struct(i.cast("string").alias("mesh_id"), p.alias("p"))).alias("meshes"))
+    best = H.fit_trees(models, ["entry_id"], [1.0, 1.5], 10.0).filter("size(boxes) > 0")
+    return best.select("entry_id", "scale", round_even(F.col("score"), 6).alias("score"), F.size("boxes").cast("bigint").alias("boxes"))
 
 
 def layout(spark: SparkSession, d: str) -> DataFrame:

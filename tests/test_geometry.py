@@ -240,6 +240,91 @@ def test_hierarchy_and_scale(spark):
     assert sorted(round(r["p"]["dx"] * r["p"]["dy"] * r["p"]["dz"]) for r in many.collect()) == [6000, 48000]
 
 
+def test_fits_of_many_are_those_of_one():
+    """Sets of points fitted together, of several sizes and without any point, get the boxes that a search set by set finds."""
+
+    def slow(points):
+        flat, total = points - points.mean(axis=0), np.eye(3)
+        for axis in range(3):
+            turn = 0.0
+            for angles in (np.concatenate([[0.0], np.linspace(-45, 45, S.COARSE)]), np.linspace(-90 / S.COARSE, 90 / S.COARSE, S.FINE)):
+                each = np.concatenate([[turn], angles + turn])
+                turn = each[int(np.argmin([np.ptp(flat @ (S.axis_rotation(axis, a) @ total).T, axis=0).prod() for a in each]))]
+            total = S.axis_rotation(axis, turn) @ total
+        return total.T, np.ptp(flat @ total.T, axis=0), points.mean(axis=0)
+
+    r = np.random.default_rng(4)
+    n = np.array([8, 0, 40, 8, 3, 40, 8])
+    points = r.uniform(-200, 300, (n.sum(), 3))
+    got, first = S.fit_sets(points, n), np.cumsum(n) - n
+    for k, m in enumerate(n):
+        if m:
+            rot, sizes, centre = slow(points[first[k] : first[k] + m])
+            assert np.allclose(got[k, :6], [*sizes, *centre]) and np.allclose(S.euler_matrix(*got[k, 6:9]), rot) and got[k, 9] == 0
+        else:
+            assert np.isnan(got[k]).all()
+    b = boxes(5, 2)
+    assert np.allclose(S.box_corners(b), [corners(x) for x in b])
+
+
+def test_voxels_painted_or_by_runs(spark, monkeypatch):
+    """Any way of counting gives the listed voxels: dense, by runs in too large a range, boxes turned about one axis, by right angles, level ones, and several boxes on both sides."""
+    r = np.random.default_rng(12)
+    rows = []
+    for m in range(16):
+        b = boxes(5, m + 40, turn=False)
+        b[:, m % 3] = r.uniform(1, 6, 5)
+        b[:, 6 + m % 3] = r.integers(0, 24, 5) * 15
+        if m > 7:
+            b[:, 6 + (m + 1) % 3] = r.choice([0, 90, 30, 0.001], 5)
+        b[:, :6] = np.round(b[:, :6] * 2) / 2
+        rows += [(m, "b" if k > 2 + m % 2 else "a", tuple(map(float, x))) for k, x in enumerate(b)]
+    rows += [(16, "a", (5.0, 5.0, 5.0, 2.5, 2.5, 2.5, 0.0, 0.0, 0.0)), (17, "a", (10.0,) * 3 + (5.0,) * 3 + (0.0,) * 3), (17, "b", (1e5,) * 3 + (5e4,) * 3 + (0.0,) * 3), (18, "a", (float("inf"),) * 3 + (0.0,) * 6)]
+    df = spark.createDataFrame(rows, f"m int, side string, p struct<{BOX.replace(' double', ': double')}>")
+    cells = V.of_boxes(df.filter("m < 17"), ["m", "side"], 5.0).groupBy("m", "i", "j", "k").agg(F.count("*").alias("n"))
+    want = {x["m"]: x["iou"] for x in cells.groupBy("m").agg((F.count_if(F.col("n") == 2) / F.count("*")).alias("iou")).collect()} | {18: 0.0}
+    small = df.filter("m <> 17")
+    for name, limit in ((None, 0), ("CELLS", 0), ("COLUMNS", 30), ("BOXES", 3), ("STEEP", 10.0)):
+        with monkeypatch.context() as here:
+            if name:
+                here.setattr(V, name, limit)
+            assert {x["m"]: x["iou"] for x in V.scored_fit(small, ["m"], 5.0).collect()} == want, name
+
+
+def test_fitted_models_in_one_pass(spark, tmp_path, monkeypatch):
+    """A tree is searched in its row: nothing is shuffled, and each design has the boxes and the score of its best scale, worked out here by hand."""
+    from joinery.plans import designs as P
+
+    designs = ["40 40 100 200 200 50 0 0 0\n200 200 20 200 200 400 0 0 0\n20 200 200 200 200 300 0 0 0", "40 40 40 200 200 20 0 0 0", "40 40 40 100 100 20 0 0 0\n40 40 40 300 100 20 0 0 30"]
+    rows = [(n, "train", [("user", "a shelf"), ("assistant", x)]) for n, x in enumerate(designs)] + [(9, "train", [("assistant", "no design")])]
+    spark.createDataFrame(rows, "entry_id bigint, split_name string, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/finetuning_data.parquet")
+    df = P.fitted_models(spark, str(tmp_path))
+    assert "Exchange hash" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {r["entry_id"]: r for r in df.collect()}
+    assert sorted(got) == [0, 1, 2] and [got[k]["boxes"] for k in range(3)] == [2, 1, 1]
+    assert got[1]["score"] == 1 and got[1]["scale"] == 1  # of equal scales the smallest
+    for k, text in enumerate(designs):
+        parts = np.array([[float(x) for x in line.split()] for line in text.split("\n")])
+        groups = [g for g in (parts[:, 5] <= parts[:, 5].max() / 2, parts[:, 5] > parts[:, 5].max() / 2) if g.any()]
+        best = []
+        for scale in (1.0, 1.5):
+            grown = np.array([H._grown(np.array([[*S.fit_sets(corners(p), np.array([8]))[0, :9]]]), scale)[0] for p in parts])
+            chosen = np.array([S.fit_sets(np.concatenate([corners(p) for p in grown[g]]), np.array([8 * g.sum()]))[0, :9] for g in groups])
+            at = np.stack(np.meshgrid(*[np.arange(-200, 800, 10) + 5.0] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+            a, b = (np.any([(np.abs((at - p[3:6]) @ S.euler_matrix(*p[6:9])) <= p[:3] / 2 + 1e-9).all(axis=1) for p in x], axis=0) for x in (grown, chosen))
+            best.append((a & b).sum() / (a | b).sum())
+        assert got[k]["score"] == pytest.approx(max(best), abs=2e-3) and got[k]["scale"] == (1.0 if best[0] >= best[1] else 1.5)
+
+
+def test_even_texts_are_read_alike(spark):
+    """Texts of single blanks are only split; any other white space gives the same parts by the longer way."""
+    even = "10 20 30 40 50 60 0 0 90\n1 2 3 4 5 6 7 8 9"
+    texts = [even, even.replace(" ", "\u00a0 "), even.replace("\n", "\r\n"), " " + even, even + "\n", even.replace(" ", "  "), even.replace("\n", " \n")]
+    got = [r["parts"] for r in parsed(spark, *texts).orderBy("entry_id").collect()]
+    assert len(got) == len(texts) and all(x == got[0] for x in got) and [x["rz"] for x in got[0]] == [90, 9]
+    assert parsed(spark, even + " 1", even + "\n\n" + even, even.replace("3 4", "3 -4"), "\n", "1 2 3 4 5 6 7 8").count() == 0
+
+
 def test_completions(spark):
     from joinery.operators import completions as C
 
