@@ -297,7 +297,7 @@ def agreement(b: dict, one: np.ndarray, other: np.ndarray, size: float) -> float
     if not len(every):
         return 0.0
     lo, end = b["from"][every].min(axis=0), b["end"][every].max(axis=0)
-    if np.prod((end - lo).astype(float)) > CELLS:
+    if np.prod(end.astype(float) - lo) > CELLS:  # as floats, which don't overflow
         part = {k: b[k][every] for k in ("d", "c", "axes", "lo", "hi")} | {"model": np.zeros(len(every), np.int64), "b": np.arange(len(every)) >= len(one)}
         a, c, either = _counts(part, 1, size)[0]
     else:

@@ -141,10 +141,9 @@ def tenth_corners(spark: SparkSession, d: str) -> DataFrame:
 
 def voxel_fits(spark: SparkSession, d: str) -> DataFrame:
     """How well one box around a design agrees with its parts, in voxels of 5."""
-    parsed = _parsed(spark, d)
-    box = box_fits(spark, d).filter("dx is not null").select("entry_id", F.lit("b").alias("side"), F.struct(*G.FIELDS).alias("p"))
-    parts = parsed.select("entry_id", F.lit("a").alias("side"), F.explode("parts").alias("p"))
-    return V.scored_fit(parts.unionByName(box), ["entry_id"], 5.0)
+    fits = S.fit_designs(_parsed(spark, d).select("entry_id", "parts"), ["entry_id", "parts"])
+    box = F.when(F.col("dx").isNotNull(), F.array(F.struct(*G.FIELDS))).otherwise(F.array())
+    return V.fit_scores(fits.select("entry_id", "parts", box.alias("box")), ["entry_id"], "parts", "box", 5.0)
 
 
 def design_extents(spark: SparkSession, d: str) -> DataFrame:
@@ -196,7 +195,7 @@ def axis_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def box_fits(spark: SparkSession, d: str) -> DataFrame:
     """A box around the corners of each design."""
-    return S.fit_boxes(_parsed(spark, d).select("entry_id", G.corner_array(F.col("parts")).alias("points")), ["entry_id"])
+    return S.fit_designs(_parsed(spark, d), ["entry_id"])
 
 
 def fitted_models(spark: SparkSession, d: str) -> DataFrame:

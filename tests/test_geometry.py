@@ -222,6 +222,31 @@ def test_voxel_fits_sees_thin_boards(spark, tmp_path):
     assert len(got) == 1 and got[0]["iou"] == pytest.approx((a & b).sum() / (a | b).sum(), abs=1e-3) and got[0]["iou"] > 0.05
 
 
+def test_voxels_of_endless_ranges():
+    """Sizes beyond whole numbers of 64 bits don't end the count of the others."""
+    b = np.array([[10.0, 10, 10, 5, 5, 5, 0, 0, 0], [10.0, 10, 10, 1e25, 5, 5, 0, 0, 0]])
+    with np.errstate(all="ignore"):
+        p = V.prepared(b, S.frames(b), 5.0)
+        assert V.agreement(p, np.array([0]), np.array([0]), 5.0) == 1 and 0 <= V.agreement(p, np.array([0]), np.array([1]), 5.0) <= 1
+
+
+def test_voxel_fits_in_one_pass(spark, tmp_path):
+    """Designs are read once and scored in their rows, without a shuffle by design; boxes and scores are those of the separate steps."""
+    from joinery.plans import designs as P
+
+    texts = ["\n".join(" ".join(str(int(x)) for x in np.abs(b)) for b in boxes(n, n)) for n in (1, 2, 5, 9)] + ["no design", ""]
+    rows = [(n, "train", [("assistant", x)]) for n, x in enumerate(texts)]
+    spark.createDataFrame(rows, "entry_id bigint, split_name string, messages array<struct<role: string, content: string>>").write.parquet(f"{tmp_path}/finetuning_data.parquet")
+    df = P.voxel_fits(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and plan.count("Scan parquet") <= 1
+    parts = D.parse(P._texts(spark, str(tmp_path)))
+    box = S.fit_boxes(parts.select("entry_id", G.corner_array(F.col("parts")).alias("points")), ["entry_id"]).select("entry_id", F.lit("b").alias("side"), F.struct(*G.FIELDS).alias("p"))
+    want = V.scored_fit(parts.select("entry_id", F.lit("a").alias("side"), F.explode("parts").alias("p")).unionByName(box), ["entry_id"], 5.0)
+    got = {r["entry_id"]: r["iou"] for r in df.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and got == pytest.approx({r["entry_id"]: r["iou"] for r in want.collect()}, abs=2e-3)
+
+
 def test_hierarchy_and_scale(spark):
     box = lambda *v: dict(zip(G.FIELDS, map(float, v)))
     schema = f"dir_id string, mesh_id string, p struct<{BOX.replace(' double', ': double')}>"
